@@ -88,10 +88,14 @@ def substitute(pattern: str | None, replacement: str | None) -> Cleaner:
     return _each(lambda t: F.regexp_replace(t, pattern, java), False)
 
 
+def ascii_tokens(tokens: Iterable[str | None]) -> list[str | None]:
+    """Each token after compatibility decomposition, without what is not ASCII then."""
+    return [t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in tokens]
+
+
 @arrow_function("array<string>")
 def _decode(tokens: pd.Series) -> pd.Series:
-    plain = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
-    return tokens.map(lambda row: None if row is None else [t if t is None or t.isascii() else plain(t) for t in row])
+    return tokens.map(lambda row: None if row is None else ascii_tokens(row))
 
 
 def decode_unicode() -> Cleaner:

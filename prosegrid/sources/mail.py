@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import email
-import email.policy
+import imaplib
+from collections.abc import Callable
 from datetime import datetime, timezone
 from email.header import decode_header, make_header
 from email.utils import parsedate_to_datetime
@@ -49,6 +51,30 @@ def parse_message(raw: bytes) -> dict:
     }
 
 
+def mailbox_transport(connect: Callable[[dict], imaplib.IMAP4], page: int = 50) -> Callable[[dict, str | None], tuple[list[dict], str | None]]:
+    """A transport for polled reads of IMAP mailboxes, newest first; a request names its mailbox under ``key``."""
+
+    def read(request: dict, token: str | None) -> tuple[list[dict], str | None]:
+        client = connect(request)
+        try:
+            status, counted = client.select(request["key"], readonly=True)
+            if status != "OK":
+                raise OSError(f"cannot open mailbox {request['key']!r}: {status}")
+            newest = int(token) if token else int(counted[0])
+            records = []
+            for number in range(newest, max(0, newest - page), -1):
+                parts = client.fetch(str(number), "(RFC822)")[1]
+                raw = next(part[1] for part in parts if isinstance(part, tuple))
+                found = parse_message(raw)
+                if found["date_received"] is not None:
+                    records.append({"id": found["message_id"], "ts": found["date_received"].timestamp(), "raw": base64.b64encode(raw).decode()})
+            return records, str(newest - page) if newest > page else None
+        finally:
+            client.logout()
+
+    return read
+
+
 @arrow_function(MESSAGE)
 def message_of(raw: pd.Series) -> pd.DataFrame:
     rows = [parse_message(bytes(r)) for r in raw]

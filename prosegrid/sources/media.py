@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -96,6 +96,28 @@ def parse_comments(response: Any, now: datetime, *, replies: bool = False) -> li
     return out
 
 
+def comment_transport(load: Callable[[str], str], call: Callable[[Any], Any], *, replies: bool = False, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> Callable[[dict, str | None], tuple[list[dict], str | None]]:
+    """A transport for polled reads of a video's comments: the page names the first continuation, each answer the next.
+
+    ``load`` fetches the page of the request's ``url``, ``call`` posts a continuation and returns its JSON.
+    """
+
+    def read(request: dict, token: str | None) -> tuple[list[dict], str | None]:
+        if token is None:
+            section = next(find_key(embedded_json(load(request["url"]), "ytInitialData"), "itemSectionRenderer"), None)
+            start = next(find_key(section, "continuationEndpoint"), None)
+            if start is None:  # comments are disabled
+                return [], None
+            token = json.dumps(start)
+        answer = call(json.loads(token))
+        if error := next(find_key(answer, "externalErrorMessage"), None):
+            raise OSError(error)
+        following = next(find_key(answer, "continuationEndpoint"), None)
+        return parse_comments(answer, clock(), replies=replies), json.dumps(following) if following else None
+
+    return read
+
+
 def video_comments(comments: DataFrame, since: datetime, *, max_comments: int = 20, cursors: DataFrame | None = None) -> DataFrame:
     """Payloads of video comments (key = video, id, ts, text), the newest of each video."""
     new = cursor.newest(cursor.newer(comments, cursors, since, record_id="id"), max_comments)

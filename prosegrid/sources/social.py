@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import base64
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.functions.hashing import hex_id
 from prosegrid.functions.html import visible_text_of
+from prosegrid.functions.times import STAMP
 from prosegrid.schema import payload
 from prosegrid.sources import cursor
+from prosegrid.sources.web import fetch
 
 MAX_RESULTS = 100  # of one search call
 DEFAULT_OPERATORS = ("-is:reply", "-is:retweet")
@@ -46,6 +51,22 @@ def query_string(config: SearchConfig) -> str:
     return " OR ".join(groups) + required
 
 
+def search_request(config: SearchConfig) -> dict:
+    """The parameters of a search call; lists of fields are comma-joined, ids take the place of a period."""
+    by_id = config.since_id is not None or config.until_id is not None
+    own = {"query": query_string(config), "max_results": config.max_results, "since_id": config.since_id, "until_id": config.until_id}
+    if config.lookup_period and not by_id:
+        own["start_time"] = cursor.start_time(config.lookup_period).strftime(STAMP)
+    return {k: v for k, v in (own | {name: ",".join(values) for name, values in config.fields.items()}).items() if v is not None}
+
+
+def bearer_token(key: str, secret: str, url: str, post: Callable[..., bytes] = fetch) -> str:
+    """An application's token for its key and secret (OAuth 2 client credentials)."""
+    basic = base64.b64encode(f"{quote(key)}:{quote(secret)}".encode()).decode()
+    headers = {"Authorization": f"Basic {basic}", "Content-Type": "application/x-www-form-urlencoded;charset=UTF-8"}
+    return json.loads(post(url, headers=headers, data=b"grant_type=client_credentials"))["access_token"]
+
+
 def matches(text: Column, config: SearchConfig, *, is_reply: Column, is_retweet: Column) -> Column:
     """The same search over a table of posts."""
     words = [*config.keywords, *[h if h.startswith("#") else f"#{h}" for h in config.hashtags], *config.usernames]
