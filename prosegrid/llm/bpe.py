@@ -39,8 +39,8 @@ from prosegrid.llm.base import arrow_map, utf8, without
 from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
-#: Bounds of a worker's tables of known pieces and words (each holds twice as many), and of a piece's length.
-CACHED_PIECES, CACHED_WORDS, CACHED_BYTES = 300_000, 300_000, 48
+#: Bounds of a worker's tables of known pieces and words (each holds twice as many) and arcs, and of a piece's length.
+CACHED_PIECES, CACHED_WORDS, CACHED_ARCS, CACHED_BYTES = 200_000, 200_000, 400_000, 48
 
 
 class MergeAutomaton:
@@ -95,7 +95,7 @@ class MergeAutomaton:
                 s = self.copied_from[s]
             else:
                 t = self.left[t]
-        if len(self._arcs) > 2_000_000:
+        if len(self._arcs) >= CACHED_ARCS:
             self._arcs.clear()
         self._arcs[key] = not s
         return not s
@@ -230,9 +230,14 @@ def _schema(df: DataFrame, but: str, more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != but] + [more])
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the column ``ids`` (array of int) in the place of the text column."""
-    docs = without(docs, [ids])
+def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the column ``ids`` (array of int) in the place of the text column.
+
+    ``decoded`` names a further column with the text that the ids decode to, made by the same
+    worker, so that a round trip needs the tables of the vocabulary once.
+    """
+    added = [ids, *([decoded] if decoded else [])]
+    docs = without(docs, added)
     rest = [c for c in docs.columns if c != text]
     sent = docs.select(*[f"`{c}`" for c in rest], utf8(text).alias("__text"))
 
@@ -241,9 +246,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
         found = [bpe.encode(t.as_py()) for t in batch.column(len(rest))]
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
         flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*rest, ids])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([bpe.decode(lists)] if decoded else [])], names=[*rest, *added])
 
-    return arrow_map(sent, make, _schema(sent, "__text", f"`{ids}` array<int>"))
+    return arrow_map(sent, make, _schema(sent, "__text", f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")))
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
