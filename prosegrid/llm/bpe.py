@@ -55,7 +55,8 @@ class MergeAutomaton:
         self.copied_from, self.lost, self.born = [0], [-1], [-1]  # state 0 is the start
         self._arcs: dict[int, bool] = {}
         for step, (u, v) in enumerate(merges):
-            self._gadget(step, self.number[u], self.number[v])
+            if u in self.number and v in self.number:  # else one of them never arises
+                self._gadget(step, self.number[u], self.number[v])
         self._arcs.clear()
         #: The labels by their symbols: nested dictionaries, with the label's number under "".
         self.trie: dict = {}
