@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
+from prosegrid.scratch import scratch_path, stored
+
+__all__ = ["arrow_map", "partitions", "scratch_path", "stored", "table", "utf8", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,46 +24,6 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``.
-
-    Only a single-machine session without that setting gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if master not in _fallback:
-        _fallback[master] = tempfile.mkdtemp(prefix="prosegrid-")
-        atexit.register(shutil.rmtree, _fallback[master], ignore_errors=True)
-    return f"file://{os.path.abspath(_fallback[master])}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/prosegrid/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def utf8(column: str) -> Column:
     """The UTF-8 bytes of a string column."""
     return F.col(column).cast("binary")
