@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index that is partitioned by document.
 
-Every task indexes its own documents: the terms that occur in the benchmark get posting lists of
-positions. For each phrase the lists of its terms are intersected from the rarest term of that
-index on, each list adjusted by the term's offset, so that exact occurrences are left. Documents
-are never shuffled, so neither common words nor common passages make a task larger.
+Indexing gives every document's row the posting lists (term, positions) of the terms that occur in
+the benchmark; this index can be stored as a table. Matching merges the lists of the documents of
+a task; for each phrase the lists of its terms are intersected from the rarest term of the merged
+index on, each list adjusted by the term's offset, so that exact occurrences are left. Neither
+documents nor postings are shuffled, so common words and passages make no task larger.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, which bounds
 what is broadcast; with more than one block the documents are passed once per block and the hit
@@ -24,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, stored, utf8, without
+from prosegrid.llm.base import arrow_map, extended, stored, utf8, without
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
 CANDIDATES = 1 << 20  # pairs that are looked at together
-INDEX_BYTES = 8 << 20  # of text in one index
+INDEX_WORDS = 1 << 21  # of documents in one index
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 _SPACED = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -66,26 +69,38 @@ class Phrases:
         return cls(terms, {n: (np.concatenate(rows[n]), np.concatenate(owners[n])) for n in rows}, list(names))
 
 
+def postings(words: list[bytes], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(term, position) of every word of a document that is a term, by term, then by position."""
+    number = terms.get
+    own = np.fromiter((number(w, -1) for w in words), np.int32, len(words))
+    places = np.flatnonzero(own >= 0)
+    order = np.argsort(own[places], kind="stable")
+    return own[places][order], places[order].astype(np.int32)
+
+
 class PositionalIndex:
-    """Posting lists of the positions of terms in a run of documents.
+    """The posting lists of a run of documents, merged.
 
     Positions count through the documents with a gap after each, so that nothing spans two of them.
     """
 
-    def __init__(self, documents: list[list[bytes]], terms: dict[bytes, int]):
-        self.sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-        self.first = np.cumsum(self.sizes + 1) - (self.sizes + 1)
-        number = terms.get
-        flat: list[int] = []
-        for words in documents:
-            flat += [number(w, -1) for w in words]
-            flat.append(-1)
-        self.at = np.array(flat, np.int32)
+    def __init__(self, sizes: np.ndarray, each: np.ndarray, terms: np.ndarray, positions: np.ndarray, n_terms: int):
+        """``each``: the number of postings of each document; ``terms`` and ``positions``: all postings."""
+        self.sizes = sizes
+        self.first = np.cumsum(sizes + 1) - (sizes + 1)
+        self.at = np.full(int((sizes + 1).sum()), -1, np.int32)
+        self.at[np.repeat(self.first, each) + positions] = terms
         places = np.flatnonzero(self.at >= 0)
         self.postings = places[np.argsort(self.at[places], kind="stable")]
-        self.counts = np.bincount(self.at[places], minlength=len(terms))
+        self.counts = np.bincount(self.at[places], minlength=n_terms)
         self.starts = np.cumsum(self.counts) - self.counts
 
+    @classmethod
+    def of_words(cls, documents: list[list[bytes]], terms: dict[bytes, int]) -> PositionalIndex:
+        own = [postings(d, terms) for d in documents]
+        join = lambda k: np.concatenate([x[k] for x in own]) if own else np.empty(0, np.int32)
+        return cls(np.array([len(d) for d in documents], np.int64), np.array([len(x[0]) for x in own], np.int64), join(0), join(1), len(terms))
+
     def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, position) of every exact occurrence, in blocks."""
         length = windows.shape[1]
@@ -126,9 +141,8 @@ class PositionalIndex:
         return place
 
 
-def search(documents: list[list[bytes]], phrases: Phrases) -> tuple[list[np.ndarray], list[list[str]]]:
+def search(index: PositionalIndex, phrases: Phrases) -> tuple[list[np.ndarray], list[list[str]]]:
     """For each document the positions of its hit words, and the ids of the items that occur in it."""
-    index = PositionalIndex(documents, phrases.terms)
     change = np.zeros(len(index.at) + 1, np.int64)
     pairs = [np.empty((0, 2), np.int64)]
     for length, (windows, owner) in phrases.windows.items():
@@ -138,11 +152,11 @@ def search(documents: list[list[bytes]], phrases: Phrases) -> tuple[list[np.ndar
             pairs.append(np.unique(np.stack([document, owner[window]], axis=1), axis=0))
     hit = np.flatnonzero(np.cumsum(change)[:-1] > 0)
     document = np.searchsorted(index.first, hit, "right") - 1
-    cuts = np.searchsorted(document, np.arange(len(documents) + 1))
-    items: list[list[str]] = [[] for _ in documents]
+    cuts = np.searchsorted(document, np.arange(len(index.sizes) + 1))
+    items: list[list[str]] = [[] for _ in index.sizes]
     for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
         items[d].append(phrases.items[i])
-    return [hit[cuts[d] : cuts[d + 1]] - index.first[d] for d in range(len(documents))], items
+    return [hit[cuts[d] : cuts[d + 1]] - index.first[d] for d in range(len(index.sizes))], items
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -159,17 +173,53 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
     yield held
 
 
-def _runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    held: list[bytes | None] = []
-    size = 0
-    for text in texts:
-        if held and size + len(text or b"") > INDEX_BYTES:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text or b"")
-    if held:
-        yield held
+def index_documents(docs: DataFrame, phrases: Broadcast, *, text: str = "text") -> DataFrame:
+    """``docs`` with its part of the index: n_words, and the postings __terms and __positions of the terms of ``phrases``.
+
+    Each row holds the posting lists of its document, so the index can be stored and is never shuffled.
+    """
+    names = docs.columns
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, own = [], []
+        for t in batch.column(len(names)):
+            words = words_of(t.as_py())
+            sizes.append(len(words))
+            own.append(postings(words, phrases.value.terms))
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in own]), pa.int32())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sizes, pa.int64()), *lists], names=[*names, "n_words", "__terms", "__positions"])
+
+    return arrow_map(docs.withColumn("__text", utf8(text)), make, extended(docs, names, "n_words long, __terms array<int>, __positions array<int>"))
+
+
+def match(indexed: DataFrame, phrases: Broadcast) -> DataFrame:
+    """``indexed`` with __hits (positions of hit words) and __items (ids of occurring items) in the place of the postings.
+
+    Hits and items that are there already, from another block of the benchmark, are kept.
+    """
+    names = [n for n in indexed.columns if n not in ("__terms", "__positions", "__hits", "__items")]
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda n: batch.column(batch.schema.get_field_index(n))
+        sizes, terms, positions = column("n_words").to_numpy(), column("__terms"), column("__positions")
+        each = pc.list_value_length(terms).to_numpy()
+        hits: list[list[int]] = []
+        items: list[list[str]] = []
+        at = 0
+        while at < len(sizes):  # runs of documents that one index holds
+            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), INDEX_WORDS)))
+            flat = [c.slice(at, upto - at).flatten().to_numpy() for c in (terms, positions)]
+            found, ids = search(PositionalIndex(sizes[at:upto], each[at:upto], *flat, len(phrases.value.terms)), phrases.value)
+            hits += [x.tolist() for x in found]
+            items += ids
+            at = upto
+        if "__hits" in batch.schema.names:
+            hits = [sorted({*a, *b}) for a, b in zip(column("__hits").to_pylist(), hits)]
+            items = [sorted({*a, *b}) for a, b in zip(column("__items").to_pylist(), items)]
+        return pa.RecordBatch.from_arrays([*[column(n) for n in names], pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "__hits", "__items"])
+
+    return arrow_map(indexed, make, extended(indexed, names, "__hits array<int>, __items array<string>"))
 
 
 def contamination(
@@ -179,36 +229,12 @@ def contamination(
 
     A document is contaminated if at least one word in 20 is hit.
     """
-    spark = docs.sparkSession
     docs = without(docs, ADDED)
     names = docs.columns
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = None
-    for block in _blocks(benchmark, item, item_text, block_words):
-        phrases = spark.sparkContext.broadcast(Phrases.of(block, window))  # at most block_words words
-        if out is not None:
-            out = stored(out, "hits")
-        first = out is None
-        sent = (docs if first else out).withColumn("__text", utf8(text))
-
-        def make(batch: pa.RecordBatch, phrases=phrases, first=first) -> pa.RecordBatch:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            n_words: list[int] = []
-            hits: list[list[int]] = []
-            items: list[list[str]] = []
-            for run in _runs(texts):
-                documents = [words_of(t) for t in run]
-                found, ids = search(documents, phrases.value)
-                n_words += map(len, documents)
-                hits += [x.tolist() for x in found]
-                items += ids
-            if not first:
-                hits = [sorted({*a, *b}) for a, b in zip(batch.column(len(names) + 1).to_pylist(), hits)]
-                items = [sorted({*a, *b}) for a, b in zip(batch.column(len(names) + 2).to_pylist(), items)]
-            columns = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, "n_words", "__hits", "__items"])
-
-        out = arrow_map(sent, make, f"{plain}, n_words long, __hits array<int>, __items array<string>")
+    out = docs
+    for number, block in enumerate(_blocks(benchmark, item, item_text, block_words)):
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of(block, window))  # at most block_words words
+        out = match(index_documents((stored(out, "hits") if number else out).drop("n_words"), phrases, text=text), phrases)
     n_hit = F.size("__hits").cast("long")
     return out.select(
         *[f"`{c}`" for c in names], "n_words", n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.array_sort("__items").alias("items"),

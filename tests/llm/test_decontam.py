@@ -53,11 +53,28 @@ def test_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(w[0] for w in want if not w[4])
 
 
+def test_stored_index(spark, tmp_path):
+    """The index is a table of posting lists; matching the stored table finds the same."""
+    docs, items = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    phrases = spark.sparkContext.broadcast(decontam.Phrases.of([("" if i is None else str(i), decontam.words_of((t or "").encode())) for i, t in items]))
+    index = decontam.index_documents(df, phrases).drop("text")
+    for r in index.collect():
+        own = words(dict(docs)[r["doc_id"]])
+        terms = {v: k.decode() for k, v in phrases.value.terms.items()}
+        assert r["n_words"] == len(own) and all(own[p] == terms[t] for t, p in zip(r["__terms"], r["__positions"]))
+        assert len(r["__positions"]) == sum(w.encode() in phrases.value.terms for w in own)
+    index.write.parquet(f"file://{tmp_path}/index")
+    found = decontam.match(spark.read.parquet(f"file://{tmp_path}/index"), phrases)
+    assert sorted((r["doc_id"], len(r["__hits"]), sorted(r["__items"])) for r in found.collect()) == sorted((d, *brute(t, items)[1:3]) for d, t in docs)
+
+
 def test_small_candidate_blocks(monkeypatch):
     monkeypatch.setattr(decontam, "CANDIDATES", 3)
     docs, items = corpus()
     phrases = decontam.Phrases.of([("" if i is None else str(i), decontam.words_of((t or "").encode())) for i, t in items])
-    hits, found = decontam.search([decontam.words_of((t or "").encode()) for _, t in docs], phrases)
+    index = decontam.PositionalIndex.of_words([decontam.words_of((t or "").encode()) for _, t in docs], phrases.terms)
+    hits, found = decontam.search(index, phrases)
     for (_, text), h, f in zip(docs, hits, found):
         assert (len(h), sorted(f)) == brute(text, items)[1:3]
 
@@ -76,7 +93,7 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
 
 def test_proximity():
     terms = {b"a": 0, b"b": 1, b"c": 2}
-    index = decontam.PositionalIndex([b"a x b x x c".split(), b"b a".split(), b"c".split()], terms)
+    index = decontam.PositionalIndex.of_words([b"a x b x x c".split(), b"b a".split(), b"c".split()], terms)
     at = lambda words, span: index.proximity(decontam.np.array([terms[w] for w in words]), span).tolist()
     assert at([b"a", b"b"], 1) == [8] and at([b"a", b"b"], 2) == [0, 8]
     assert at([b"a", b"c"], 4) == [] and at([b"a", b"c"], 5) == [0]
