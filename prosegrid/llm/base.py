@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosegrid.scratch import scratch_path, stored
 
-__all__ = ["arrow_map", "partitions", "scratch_path", "stored", "table", "utf8", "without"]
+__all__ = ["arrow_map", "extended", "partitions", "scratch_path", "stored", "table", "utf8", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,13 @@ def utf8(column: str) -> Column:
     return F.col(column).cast("binary")
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def extended(df: DataFrame, names: Iterable[str], more: str = "") -> T.StructType:
+    """The columns ``names`` of ``df`` with any type they have, then the columns of the DDL text ``more``."""
+    kept = [T.StructField(n, df.schema[n].dataType) for n in names]
+    return T.StructType(kept + (T.StructType.fromDDL(more).fields if more else []))
+
+
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """Applies ``make`` to each Arrow batch; nothing is kept between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

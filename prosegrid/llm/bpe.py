@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from prosegrid.llm.base import arrow_map, utf8, without
+from prosegrid.llm.base import arrow_map, extended, utf8, without
 from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
@@ -227,10 +227,6 @@ def load(path: str) -> BPE:
     return BPE(path)
 
 
-def _schema(df: DataFrame, but: str, more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != but] + [more])
-
-
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) in the place of the text column.
 
@@ -250,7 +246,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
         lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([bpe.decode(lists)] if decoded else [])], names=[*rest, *added])
 
-    return arrow_map(sent, make, _schema(sent, "__text", f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")))
+    return arrow_map(sent, make, extended(sent, rest, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")))
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -261,4 +257,4 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", text: str = "deco
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, load(path).decode(batch.column(names.index(ids)))], names=[*names, text])
 
-    return arrow_map(encoded, make, _schema(encoded, "", f"`{text}` string"))
+    return arrow_map(encoded, make, extended(encoded, names, f"`{text}` string"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, without
+from prosegrid.llm.base import arrow_map, extended, without
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -107,7 +107,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     docs = without(docs, ["lang_pred", "score"])
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
+    schema = extended(docs, names, "lang_pred string, score double")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.predict(t) for t in batch.column(names.index(text)).to_pylist()]

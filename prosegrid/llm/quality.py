@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, stored, utf8, without
+from prosegrid.llm.base import arrow_map, extended, stored, utf8, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios, with the least width of a fence; the mean length of a word has a lower fence too.
@@ -69,7 +69,7 @@ def base_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     docs = without(docs, added)
     rest = [c for c in docs.columns if c != text]
     sent = docs.select(*[f"`{c}`" for c in rest], utf8(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "__text"] + [f"{n} long" for n in added])
+    schema = extended(sent, rest, ", ".join(f"{n} long" for n in added))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([counts(t.as_py()) for t in batch.column(len(rest))], np.int64)

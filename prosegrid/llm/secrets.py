@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, without
+from prosegrid.llm.base import arrow_map, extended, without
 
 KINDS = ("assign", "access", "hex", "random")
 ADDED = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
@@ -138,7 +138,7 @@ def scan_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     docs = without(docs, ADDED)
     rest = [c for c in docs.columns if c != text]
     sent = docs.select(*[f"`{c}`" for c in rest], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "__text"] + ["n_assign long", "n_access long", "n_hex long", "base_spans string", "spans string"])
+    schema = extended(sent, rest, "n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = default_model()
@@ -154,7 +154,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> Da
     """``docs`` with every span of the text column replaced by ``mark``; other columns and texts stay as they are."""
     names = docs.columns
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = extended(docs, names)
 
     def clean(value: str | None, model: Markov) -> str | None:
         spans = scan(value, model)[1]

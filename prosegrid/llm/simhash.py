@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, partitions, stored, utf8, without
+from prosegrid.llm.base import arrow_map, extended, partitions, stored, utf8, without
 from prosegrid.llm.components import connected_components
 
 FANOUT = 8
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", words_each: int = 4) ->
     """``docs`` without the text column, with ``fp`` (the fingerprint as a signed long)."""
     rest = [c for c in without(docs, ["fp"]).columns if c != text]
     sent = docs.select(*rest, utf8(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "__text"] + ["fp long"])
+    schema = extended(sent, rest, "fp long")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [simhash(shingle_hashes(t.as_py(), words_each)) for t in batch.column(len(rest))]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, utf8, without
+from prosegrid.llm.base import arrow_map, extended, utf8, without
 from prosegrid.llm.cache import Generations
 
 BATCH_BYTES = 1 << 18
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame
     docs = without(docs, ["n_bytes", "n_tokens"])
     rest = [c for c in docs.columns if c != text]
     sent = docs.select(*[f"`{c}`" for c in rest], F.coalesce(utf8(text), F.lit(b"")).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "__text"] + ["n_bytes long", "n_tokens long"])
+    schema = extended(sent, rest, "n_bytes long, n_tokens long")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(len(rest)).to_pylist()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, stored, without
+from prosegrid.llm.base import arrow_map, extended, stored, without
 
 ADDED = ("host", "path", "rule", "verdict")
 BITS_PER_KEY, HASHES = 10, 7
@@ -161,7 +161,7 @@ def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tupl
     lengths = sorted({len(p) for _, p in [*allow, *block]})
     table = lambda rules: spark.createDataFrame([(k,) for k in sorted({rule_key(*r) for r in rules})], "key string")
     cascades = spark.sparkContext.broadcast(build(spark, pages, table(allow), table(block), lengths, url=url))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema] + [f"{n} string" for n in ADDED])
+    schema = extended(pages, names, ", ".join(f"{n} string" for n in ADDED))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         allowed, blocked = cascades.value

@@ -108,3 +108,10 @@ def test_stages_take_odd_rows(spark, odd, empty):
             if name != "bpe":
                 assert out.columns == docs.columns
     assert decontam.WINDOW == 13 and simhash.SEED == 42
+
+
+def test_stages_pass_columns_of_any_type(spark, odd):
+    nested = odd.withColumns({"a b": F.struct(F.lit(1).alias("x y"), F.array(F.lit(2.5)).alias("`z`")), "when": F.current_timestamp(), "m": F.create_map(F.lit("k"), F.lit(1)), "Fp": F.lit(1), "spans": F.lit("s")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, nested, DATA)
+        assert out.columns == nested.columns and out.count() > 0, name
