@@ -10,6 +10,7 @@ Reading of a request stops at the first record that is not newer than its cursor
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -24,6 +25,19 @@ def register_transport(name: str, transport: Transport) -> None:
     TRANSPORTS[name] = transport
 
 
+def tolerant(transport: Transport, errors: tuple[type[Exception], ...] = (RuntimeError,)) -> Transport:
+    """A transport whose failures are logged and read as an empty page; the cursor stays where it was."""
+
+    def read(request: dict, token: str | None) -> tuple[list[dict], str | None]:
+        try:
+            return transport(request, token)
+        except errors:
+            logging.getLogger(__name__).exception("no records for %s", request.get("key"))
+            return [], None
+
+    return read
+
+
 def pages(transport: Transport, request: dict, since: float, max_count: int | None) -> Iterator[dict]:
     """Records of one request that are newer than ``since``, newest first."""
     token, count = None, 0

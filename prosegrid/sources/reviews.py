@@ -118,6 +118,26 @@ def publisher_reviews(responses: DataFrame, *, since_id: str | None = None) -> D
     return payload(own, F.get("comments", F.lit(0))["userComment"]["text"], F.col("reviewId"), meta=F.struct("*"), source_name="PlayStoreReviews")
 
 
+@dataclass
+class PlaceReviewsConfig:
+    queries: list[str]
+    sort: str = "newest"
+    number_of_reviews: int = 10
+    number_of_places_per_query: int = 1
+    since_timestamp: int | None = None
+    until_timestamp: int | None = None
+    language: str | None = None
+    country: str | None = None
+
+    def request(self, since: int | None = None) -> dict:
+        """The parameters of a call; a cursor goes before the configured start."""
+        own = {
+            "query": self.queries, "sort": self.sort, "reviewsLimit": self.number_of_reviews, "limit": self.number_of_places_per_query,
+            "cutoff": since if since is not None else self.since_timestamp, "start": self.until_timestamp, "language": self.language, "region": self.country, "async": False,
+        }
+        return {k: v for k, v in own.items() if v is not None}
+
+
 def place_reviews(places: DataFrame, *, reviews: str = "reviews_data", since: datetime | None = None, text: str = "review_text", ts: str = "review_timestamp", review_id: str = "review_id") -> DataFrame:
     """Payloads of the reviews nested in place records; where both have a field, the place's stands in meta."""
     rest = [c for c in places.columns if c != reviews]

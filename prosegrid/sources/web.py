@@ -40,6 +40,7 @@ class CrawlerConfig:
     urls: Sequence[str] = field(default_factory=list)
     is_feed: bool = False
     is_sitemap: bool = False
+    include_comments: bool = True
     find_urls: Callable[[str], list[str]] | None = None
     extract: Callable[[Column], Column] = article_of
 
@@ -64,9 +65,10 @@ def expand_urls(config: CrawlerConfig, load: Callable[[str], str]) -> list[str]:
 
 def crawled(pages: DataFrame, *, config: CrawlerConfig | None = None, key: str = "page_id", url: str = "url", html: str = "html", source_name: str = "Crawler") -> DataFrame:
     """Payloads of pages that have an article: text, then comments; pages without one are left out."""
-    extract = (config or CrawlerConfig()).extract
+    config = config or CrawlerConfig()
+    extract = config.extract
     found = pages.select(F.col(key).alias("__key"), F.col(url).alias("url"), extract(F.col(html)).alias("a")).where("a.text is not null")
-    text = F.concat_ws(". ", "a.text", "a.comments")
+    text = F.concat_ws(". ", "a.text", "a.comments") if config.include_comments else F.col("a.text")
     return payload(found, text, F.col("__key"), meta=F.struct("url", "a.title", "a.author", "a.description", "a.language"), source_name=source_name)
 
 

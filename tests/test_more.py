@@ -4,7 +4,7 @@ import json
 from datetime import datetime, timezone
 
 from prosegrid.functions import sql
-from prosegrid.sources import mail, media, polling, social
+from prosegrid.sources import mail, media, polling, reviews, social
 from prosegrid.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -89,3 +89,15 @@ def test_comment_pages():
 def test_windows(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, 1, 0, 5), "a", 1.0), (datetime(2024, 1, 1, 0, 55), "a", 2.0), (datetime(2024, 1, 1, 1, 0), "b", 4.0)], "ts timestamp, event_type string, value double")
     assert [tuple(r)[2:] for r in incremental.windowed_counts(rows).orderBy(F.col("window_start")).collect()] == [(2, 3.0), (1, 4.0)]
+
+
+def test_tolerant_transport():
+    def broken(request, token):
+        raise RuntimeError("down")
+
+    assert list(polling.pages(polling.tolerant(broken), {"key": "x"}, 0, None)) == []
+
+
+def test_place_requests():
+    config = reviews.PlaceReviewsConfig(["a cafe"], since_timestamp=5)
+    assert config.request()["cutoff"] == 5 and config.request(9)["cutoff"] == 9 and "start" not in config.request()
