@@ -1,4 +1,9 @@
-"""Aggregation of chunk results back to documents: grouped sums with map-side partial aggregation."""
+"""Aggregation of chunk results back to documents.
+
+The chunks of a document meet once, as its text has to be put together again; everything else is
+computed from that array by JVM functions. So there is one shuffle, no join, and what made the
+chunks runs once.
+"""
 
 from __future__ import annotations
 
@@ -8,95 +13,95 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.schema import SEGMENTS, no_segments
+from prosegrid.schema import SEGMENTS
 
+KIND = SEGMENTS["aggregator_data"]
+FIELDS = ("payload_id", "processed_text", "source_name", "meta", "segmented_data")
 
-def _prepared(payloads: DataFrame) -> DataFrame:
-    """A group key and an order for each payload; a payload without a splitter is a document of one chunk."""
-    split = "splitter" in payloads.columns
-    document = F.coalesce(F.col("splitter.document_id"), F.col("payload_id")) if split else F.col("payload_id")
-    order = F.coalesce(F.col("splitter.chunk_id"), F.lit(0)) if split else F.lit(0)
-    return payloads.withColumns({"__document": document, "__order": order, "__scores": F.col("segmented_data.classifier_data")})
 
+def _scores(chunk: Column) -> Column:
+    return chunk["segmented_data"]["classifier_data"]
 
-def _documents(rows: DataFrame) -> DataFrame:
-    """Text in chunk order, total length, the last chunk's meta and the first one's source of each document."""
-    # The chunks of one document meet here, as its text has to be put together again.
-    return rows.groupBy("__document").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__order", "processed_text"))), lambda c: c["processed_text"]), " ").alias("processed_text"),
-        F.sum(F.length("processed_text")).alias("__length"),
-        F.max_by("meta", "__order").alias("meta"),
-        F.min_by("source_name", "__order").alias("source_name"),
-        F.min("payload_id").alias("payload_id"),
-        F.min_by(F.col("__scores").isNotNull(), "__order").alias("__classified"),
-    )
 
+def _labels(chunks: Column) -> Column:
+    """All labels of the chunks, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.coalesce(F.map_keys(_scores(c)), F.array().cast("array<string>"))))))
 
-def _scores(rows: DataFrame) -> DataFrame:
-    return rows.select("__document", F.length("processed_text").alias("__size"), F.explode("__scores").alias("label", "score"))
 
+def _total_length(chunks: Column) -> Column:
+    return F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + F.length(c["processed_text"]))
 
-def average_scores(rows: DataFrame, documents: DataFrame, default: float) -> DataFrame:
-    """Per document: label -> default + sum of score * length of the chunk / length of all chunks."""
-    sums = _scores(rows).groupBy("__document", "label").agg(F.sum(F.col("score") * F.col("__size")).alias("weighted"))
-    joined = sums.join(documents.select("__document", "__length"), "__document")
-    one = F.struct("label", (F.lit(default) + F.col("weighted") / F.col("__length")).alias("score"))
-    return joined.groupBy("__document").agg(F.map_from_entries(F.array_sort(F.collect_list(one))).alias("avg_score"))
 
-
-def max_categories(rows: DataFrame, threshold: float) -> DataFrame:
-    """Per document: label -> number and maximum of the scores above the threshold."""
-    found = _scores(rows).where(F.col("score") > threshold).groupBy("__document", "label").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("score").alias("m"))
-    return found.groupBy("__document").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("category_count"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "m")))).alias("max_scores"),
-    )
+def _data(name: str, **found: Column) -> Column:
+    """An aggregator_data struct with the given fields."""
+    names = ("avg_score", "category_count", "max_scores")
+    return F.struct(*[found.get(n, F.lit(None)).alias(n) for n in names], F.lit(name).alias("aggregator_name")).cast(KIND)
 
 
 @dataclass
 class AverageScore:
+    """label -> default + sum of score * length of the chunk / length of all chunks; a missing label adds nothing."""
+
     default_value: float = 0.0
     name: str = "ClassificationAverageScore"
 
-    def fields(self, rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-        return average_scores(rows, documents, self.default_value), {"avg_score": F.coalesce("avg_score", F.create_map().cast("map<string,double>"))}
+    def __call__(self, chunks: Column) -> Column:
+        total = _total_length(chunks)
+
+        def mean(label: Column) -> Column:
+            weighted = F.aggregate(chunks, F.lit(0.0), lambda s, c: s + F.coalesce(_scores(c)[label] * F.length(c["processed_text"]), F.lit(0.0)))
+            return F.lit(self.default_value) + weighted / F.greatest(total, F.lit(1))
+
+        return _data(self.name, avg_score=F.map_from_entries(F.transform(_labels(chunks), lambda x: F.struct(x, mean(x)))))
 
 
 @dataclass
 class MaxCategories:
+    """label -> number and maximum of the scores above the threshold; labels without one are left out."""
+
     score_threshold: float = 0.5
     name: str = "ClassificationMaxCategories"
 
-    def fields(self, rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-        empty = {"category_count": "map<string,int>", "max_scores": "map<string,double>"}
-        return max_categories(rows, self.score_threshold), {k: F.coalesce(k, F.create_map().cast(v)) for k, v in empty.items()}
+    def __call__(self, chunks: Column) -> Column:
+        above = lambda label: F.filter(F.transform(chunks, lambda c: _scores(c)[label]), lambda s: s > self.score_threshold)
+        labels = F.filter(_labels(chunks), lambda x: F.size(above(x)) > 0)
+        return _data(
+            self.name,
+            category_count=F.map_from_entries(F.transform(labels, lambda x: F.struct(x, F.size(above(x))))),
+            max_scores=F.map_from_entries(F.transform(labels, lambda x: F.struct(x, F.array_max(above(x))))),
+        )
 
 
 @dataclass
 class Custom:
-    """A plug-in: any function from the rows and the documents to one row a document with a column ``data``."""
+    """A plug-in: any function from the array of a document's payloads (in order) to label -> score."""
 
-    compute: Callable[[DataFrame, DataFrame], DataFrame]
+    compute: Callable[[Column], Column]
     name: str = "Custom"
 
-    def fields(self, rows: DataFrame, documents: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-        return self.compute(rows, documents), {"avg_score": F.col("data")}
-
+    def __call__(self, chunks: Column) -> Column:
+        return _data(self.name, avg_score=self.compute(chunks))
 
-def aggregate(payloads: DataFrame, function: AverageScore | MaxCategories | Custom | None = None) -> DataFrame:
-    """One row a document with aggregator_data; documents whose first chunk is not classified pass unchanged."""
-    function = function or AverageScore()
-    rows = _prepared(payloads)
-    documents = _documents(rows)
-    values, columns = function.fields(rows, documents)
-    kind = SEGMENTS["aggregator_data"]
-    names = [part.split(":")[0] for part in ("avg_score", "category_count", "max_scores", "aggregator_name")]
-    own = columns | {"aggregator_name": F.lit(function.name)}
-    data = F.struct(*[own.get(n, F.lit(None)).alias(n) for n in names]).cast(kind)
-    segmented = F.struct(*[data.alias(k) if k == "aggregator_data" else F.lit(None).cast(t).alias(k) for k, t in SEGMENTS.items()])
-    out = documents.where("__classified").join(values, "__document", "left").select("payload_id", "processed_text", "source_name", "meta", segmented.alias("segmented_data"))
-    left = rows.join(documents.where("not __classified").select("__document"), "__document", "left_semi")
-    return out.unionByName(left.select("payload_id", "processed_text", "source_name", "meta", "segmented_data"))
 
+def aggregate(payloads: DataFrame, function: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row a document with only aggregator_data as result, its chunks' texts joined by a blank.
 
-__all__ = ["AverageScore", "Custom", "MaxCategories", "aggregate", "average_scores", "max_categories", "no_segments"]
+    meta is the last chunk's, the source the first one's. A payload without a splitter is a document of
+    one chunk. Documents whose first chunk is not classified pass unchanged, chunk by chunk.
+    """
+    split = "splitter" in payloads.columns
+    document = F.coalesce(F.col("splitter.document_id"), F.col("payload_id")) if split else F.col("payload_id")
+    order = F.coalesce(F.col("splitter.chunk_id"), F.lit(0)) if split else F.lit(0)
+    place = lambda c: F.struct(c["order"], c["payload_id"])
+    by_order = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    grouped = payloads.groupBy(document.alias("__document")).agg(F.collect_list(F.struct(order.alias("order"), *FIELDS)).alias("__chunks"))
+    chunks = F.col("__chunks")
+    sorted_ = grouped.withColumn("__chunks", F.array_sort("__chunks", by_order))
+    segmented = F.struct(*[((function or AverageScore())(chunks) if k == "aggregator_data" else F.lit(None).cast(t)).alias(k) for k, t in SEGMENTS.items()])
+    first, last = F.get(chunks, F.lit(0)), F.element_at(chunks, -1)
+    whole = F.struct(
+        first["payload_id"].alias("payload_id"), F.array_join(F.transform(chunks, lambda c: c["processed_text"]), " ").alias("processed_text"),
+        first["source_name"].alias("source_name"), last["meta"].alias("meta"), segmented.alias("segmented_data"),
+    )
+    same = F.transform(chunks, lambda c: F.struct(*[c[f].alias(f) for f in FIELDS]))
+    return sorted_.select(F.explode(F.when(_scores(first).isNotNull(), F.array(whole)).otherwise(same)).alias("__row")).select("__row.*")
