@@ -74,9 +74,11 @@ def compound_of(texts: pd.Series) -> pd.Series:
 def lexicon_compound(text: Column) -> Column:
     """Summed valences of the lower-cased ASCII words, normalised; no shuffle, no Python."""
     valences = F.create_map(*[F.lit(x) for pair in LEXICON.items() for x in pair])
-    words = F.split(F.lower(text), "[^a-z']+")
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(valences[w], F.lit(0.0)))
-    return F.coalesce(total / F.sqrt(total * total + ALPHA), F.lit(0.0))
+    # A hash set leaves the few known words; only these are looked up in the map, which is searched in order.
+    words = F.filter(F.split(F.lower(text), "[^a-z']+"), lambda w: w.isin(list(LEXICON)))
+    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + valences[w])
+    # The array of one element gives the sum a name, so that it is computed once.
+    return F.coalesce(F.get(F.transform(F.array(total), lambda s: s / F.sqrt(s * s + ALPHA)), F.lit(0)), F.lit(0.0))
 
 
 def two_sided(score: Column) -> Column:

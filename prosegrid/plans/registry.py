@@ -16,6 +16,7 @@ from prosegrid.schema import payload, with_segment
 from prosegrid.scratch import scratch_path
 from prosegrid.sinks import convert, deliver
 from prosegrid.sources import cursor, frames, media, polling, reviews, social, web
+from prosegrid.sources.tables import read_table as _table
 from prosegrid.state import upsert
 from prosegrid.streaming import incremental
 
@@ -31,10 +32,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return payload(docs, F.col("text"), F.col("doc_id"), meta=F.struct("doc_id", "lang", "source"), source_name="documents")
