@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegrid.scratch import scratch_path, stored
+from prosegrid.sources.tables import read_table as table
 
 __all__ = ["arrow_map", "extended", "partitions", "scratch_path", "stored", "table", "utf8", "without"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables; the path may be of any file system that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add (compared case-insensitively)."""
     taken = {n.lower() for n in names}
