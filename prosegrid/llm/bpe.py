@@ -40,7 +40,7 @@ from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
 #: Bounds of a worker's tables of known pieces and words (each holds twice as many) and arcs, and of a piece's length.
-CACHED_PIECES, CACHED_WORDS, CACHED_ARCS, CACHED_BYTES = 200_000, 200_000, 400_000, 48
+CACHED_PIECES, CACHED_WORDS, CACHED_ARCS, CACHED_BYTES = 150_000, 150_000, 400_000, 48
 
 
 class MergeAutomaton:

@@ -37,6 +37,7 @@ BLOCK_WORDS = 2_000_000
 CANDIDATES = 1 << 20  # pairs that are looked at together
 INDEX_WORDS = 1 << 21  # of documents in one index
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
+INDEX, FOUND, FOUND_DDL = ("n_words", "__terms", "__positions"), ("__hits", "__items"), "__hits array<int>, __items array<string>"
 _SPACED = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -173,53 +174,59 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
     yield held
 
 
+def _index(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    """A batch whose last column is the text, with the posting lists of its documents in the place of it."""
+    sizes, own = [], []
+    for t in batch.column(batch.num_columns - 1):
+        words = words_of(t.as_py())
+        sizes.append(len(words))
+        own.append(postings(words, phrases.terms))
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in own]), pa.int32())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), *lists], names=[*batch.schema.names[:-1], *INDEX])
+
+
+def _match(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    """An indexed batch with hits and items in the place of the postings; those of another block are kept."""
+    column = lambda n: batch.column(batch.schema.get_field_index(n))
+    sizes, (terms, positions) = column("n_words").to_numpy(), [column(n) for n in INDEX[1:]]
+    each = pc.list_value_length(terms).to_numpy()
+    hits: list[list[int]] = []
+    items: list[list[str]] = []
+    at = 0
+    while at < len(sizes):  # runs of documents that one index holds
+        upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), INDEX_WORDS)))
+        flat = [c.slice(at, upto - at).flatten().to_numpy() for c in (terms, positions)]
+        found, ids = search(PositionalIndex(sizes[at:upto], each[at:upto], *flat, len(phrases.terms)), phrases)
+        hits += [x.tolist() for x in found]
+        items += ids
+        at = upto
+    if FOUND[0] in batch.schema.names:
+        hits, items = ([sorted({*a, *b}) for a, b in zip(column(n).to_pylist(), new)] for n, new in zip(FOUND, (hits, items)))
+    names = [n for n in batch.schema.names if n not in (*INDEX[1:], *FOUND)]
+    return pa.RecordBatch.from_arrays([*[column(n) for n in names], pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, *FOUND])
+
+
 def index_documents(docs: DataFrame, phrases: Broadcast, *, text: str = "text") -> DataFrame:
     """``docs`` with its part of the index: n_words, and the postings __terms and __positions of the terms of ``phrases``.
 
     Each row holds the posting lists of its document, so the index can be stored and is never shuffled.
     """
-    names = docs.columns
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, own = [], []
-        for t in batch.column(len(names)):
-            words = words_of(t.as_py())
-            sizes.append(len(words))
-            own.append(postings(words, phrases.value.terms))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in own]), pa.int32())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sizes, pa.int64()), *lists], names=[*names, "n_words", "__terms", "__positions"])
-
-    return arrow_map(docs.withColumn("__text", utf8(text)), make, extended(docs, names, "n_words long, __terms array<int>, __positions array<int>"))
+    schema = extended(docs, docs.columns, "n_words long, __terms array<int>, __positions array<int>")
+    return arrow_map(docs.withColumn("__text", utf8(text)), lambda batch: _index(batch, phrases.value), schema)
 
 
 def match(indexed: DataFrame, phrases: Broadcast) -> DataFrame:
-    """``indexed`` with __hits (positions of hit words) and __items (ids of occurring items) in the place of the postings.
+    """``indexed`` with __hits (positions of hit words) and __items (ids of occurring items) in the place of the postings."""
+    names = [n for n in indexed.columns if n not in (*INDEX[1:], *FOUND)]
+    return arrow_map(indexed, lambda batch: _match(batch, phrases.value), extended(indexed, names, FOUND_DDL))
 
-    Hits and items that are there already, from another block of the benchmark, are kept.
-    """
-    names = [n for n in indexed.columns if n not in ("__terms", "__positions", "__hits", "__items")]
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = lambda n: batch.column(batch.schema.get_field_index(n))
-        sizes, terms, positions = column("n_words").to_numpy(), column("__terms"), column("__positions")
-        each = pc.list_value_length(terms).to_numpy()
-        hits: list[list[int]] = []
-        items: list[list[str]] = []
-        at = 0
-        while at < len(sizes):  # runs of documents that one index holds
-            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), INDEX_WORDS)))
-            flat = [c.slice(at, upto - at).flatten().to_numpy() for c in (terms, positions)]
-            found, ids = search(PositionalIndex(sizes[at:upto], each[at:upto], *flat, len(phrases.value.terms)), phrases.value)
-            hits += [x.tolist() for x in found]
-            items += ids
-            at = upto
-        if "__hits" in batch.schema.names:
-            hits = [sorted({*a, *b}) for a, b in zip(column("__hits").to_pylist(), hits)]
-            items = [sorted({*a, *b}) for a, b in zip(column("__items").to_pylist(), items)]
-        return pa.RecordBatch.from_arrays([*[column(n) for n in names], pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "__hits", "__items"])
 
-    return arrow_map(indexed, make, extended(indexed, names, "__hits array<int>, __items array<string>"))
+def index_and_match(docs: DataFrame, phrases: Broadcast, *, text: str = "text") -> DataFrame:
+    """Both in one worker, for an index that is used once."""
+    names = [n for n in docs.columns if n not in FOUND]
+    schema = extended(docs, names, f"n_words long, {FOUND_DDL}")
+    return arrow_map(docs.withColumn("__text", utf8(text)), lambda batch: _match(_index(batch, phrases.value), phrases.value), schema)
 
 
 def contamination(
@@ -234,7 +241,7 @@ def contamination(
     out = docs
     for number, block in enumerate(_blocks(benchmark, item, item_text, block_words)):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases.of(block, window))  # at most block_words words
-        out = match(index_documents((stored(out, "hits") if number else out).drop("n_words"), phrases, text=text), phrases)
+        out = index_and_match((stored(out, "hits") if number else out).drop("n_words"), phrases, text=text)
     n_hit = F.size("__hits").cast("long")
     return out.select(
         *[f"`{c}`" for c in names], "n_words", n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.array_sort("__items").alias("items"),
