@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models for what no pattern names.
 
 Two first-order models over the characters of keys, one of random strings and one of ordinary
-identifiers, are trained from labelled samples. A run of key characters that holds letters and
-digits is a secret if the log-likelihood ratio of the models exceeds ``THRESHOLD`` a character.
-Runs that touch a span of the fixed patterns are left to it.
+identifiers, are trained from labelled samples. In every run of key characters the stretch of at
+least ``LEAST`` characters is sought whose log-likelihood ratio exceeds ``THRESHOLD`` a character
+by the most in sum; it is widened to whole pieces between delimiters, and what lies on both sides of
+it is searched again. A stretch that holds letters and digits is a secret, whatever names or
+paths it is glued to. Stretches that touch a span of the fixed patterns are left to it.
 
 Spans are (kind, start, end) in code points, end exclusive.
 
@@ -20,7 +22,7 @@ import random
 import re
 import string
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -37,6 +39,7 @@ SAMPLES = 4000  # labelled strings of each class
 SEED = 7
 THRESHOLD = 0.7  # nats a character
 LEAST, WINDOW = 20, 64
+DELIMITER = re.compile("[/_=-]")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -117,12 +120,45 @@ def looks_random(run: str, model: Markov, threshold: float = THRESHOLD) -> bool:
     return any(map(str.isdigit, run)) and any(map(str.isalpha, run)) and model.score(run) > threshold
 
 
+def stretches(run: str, model: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """The random stretches of a run, in order; they do not overlap."""
+    codes = model.codes(run)
+    excess = model.ratio[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes] - threshold
+    total = np.concatenate([[0.0], np.cumsum(excess)])
+    cuts = [0, *(m.end() for m in DELIMITER.finditer(run)), len(run)]  # pieces end with their delimiter
+    out, open_ = [], [(0, len(run))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < LEAST:
+            continue
+        gain = total[low + LEAST : high + 1] - np.minimum.accumulate(total[low : high + 1 - LEAST])
+        end = int(np.argmax(gain))
+        if gain[end] <= 0:
+            continue
+        start = low + int(np.argmin(total[low : low + end + 1]))
+        end += low + LEAST
+        first, last = bisect_right(cuts, start) - 1, bisect_left(cuts, end)
+        # Pieces beside it that are as likely random as not belong to it: keys may hold delimiters.
+        plain = lambda k: total[(to := cuts[k + 1] - (cuts[k + 1] < len(run)))] - total[cuts[k]] + threshold * (to - cuts[k]) < 0
+        while first > 0 and cuts[first] > low and run[cuts[first] - 1] != "=" and not plain(first - 1):
+            first -= 1
+        while last < len(cuts) - 1 and cuts[last] < high and not plain(last):
+            last += 1
+        start, end = max(low, cuts[first]), min(high, cuts[last])
+        own = run[start:end]
+        if any(map(str.isdigit, own)) and any(map(str.isalpha, own)):
+            after = end - 1 if end < len(run) and DELIMITER.match(run, end - 1) else end
+            out.append((start, after))
+        open_ += [(low, start), (end, high)]
+    return sorted(out)
+
+
 def scan(text: str | None, model: Markov) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the fixed patterns, all spans)."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [("random", m.start(), m.end()) for m in RUN.finditer(text) if looks_random(m[0], model)]
+    more = [("random", m.start() + start, m.start() + end) for m in RUN.finditer(text) for start, end in stretches(m[0], model)]
     if base and more:
         starts, ends = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
         more = [x for x in more if not (n := bisect_left(starts, x[2])) or ends[n - 1] <= x[1]]

@@ -1,0 +1,27 @@
+import random
+import string
+
+import pytest
+
+from prosegrid.llm import secrets
+
+
+def keys(n=300, size=24):
+    rng = random.Random(11)
+    made = ("".join(rng.choices(string.ascii_letters + string.digits, k=size)) for _ in range(n))
+    return [k for k in made if any(map(str.isdigit, k))]
+
+
+@pytest.mark.parametrize("before", ["", "private_key=", "session_credential=", "storage_account_connection_key=", "com/download/archive/releases/"])
+def test_keys_behind_names_and_in_paths(before):
+    model = secrets.default_model()
+    found = [secrets.scan(f"see {before}{k}/readme-file now", model)[1] for k in keys()]
+    at = 4 + len(before)
+    assert sum(any(s <= at and at + 24 <= e for _, s, e in spans) for spans in found) >= 0.98 * len(found)
+    assert sum(("random", at, at + 24) in spans for spans in found) >= 0.9 * len(found)
+
+
+def test_names_and_paths_stay():
+    model = secrets.default_model()
+    for text in ("storage_account_connection_key=default_2024", "com/download/archive/releases/2024/01/15/version-12", "en/articles/2024/01/some-very-long-article-title"):
+        assert secrets.scan(text, model)[1] == []
