@@ -5,7 +5,7 @@ identifiers, are trained from labelled samples. In every run of key characters t
 least ``LEAST`` characters is sought whose log-likelihood ratio exceeds ``THRESHOLD`` a character
 by the most in sum; it is widened to whole pieces between delimiters, and what lies on both sides of
 it is searched again. A stretch that holds letters and digits is a secret, whatever names or
-paths it is glued to. Stretches that touch a span of the fixed patterns are left to it.
+paths it is glued to. Stretches that spans of the fixed patterns cover wholly are left to them.
 
 Spans are (kind, start, end) in code points, end exclusive.
 
@@ -24,7 +24,6 @@ import string
 import sys
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +159,14 @@ def scan(text: str | None, model: Markov) -> tuple[list[tuple[str, int, int]], l
     base = base_spans(text)
     more = [("random", m.start() + start, m.start() + end) for m in RUN.finditer(text) for start, end in stretches(m[0], model)]
     if base and more:
-        starts, ends = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
-        more = [x for x in more if not (n := bisect_left(starts, x[2])) or ends[n - 1] <= x[1]]
+        covered: list[tuple[int, int]] = []  # base spans, merged where they touch
+        for _, start, end in base:
+            if covered and start <= covered[-1][1]:
+                covered[-1] = covered[-1][0], max(end, covered[-1][1])
+            else:
+                covered.append((start, end))
+        starts = [start for start, _ in covered]
+        more = [x for x in more if not (n := bisect_right(starts, x[1])) or covered[n - 1][1] < x[2]]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
