@@ -3,7 +3,8 @@
 Models are plug-ins behind ``Predictor``: a function that is called once per worker and returns a
 function from a batch of texts to a batch of results. Cheap JVM filters belong before an analyzer,
 as Python functions are not moved over them. The built-in predictors are small and
-deterministic; their shapes are those of real models, their scores are not.
+deterministic; their shapes are those of real models, their scores are not. ``max_length`` is for models
+with a limit; ``max_length=None`` does not truncate, which is how the registered queries run.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def dummy(payloads: DataFrame, data: str | None = None) -> DataFrame:
     return with_segment(payloads, "dummy_data", F.lit(data))
 
 
-def classify(payloads: DataFrame, predictor: Predictor, config: ClassifierConfig | None = None, batch_size: int = -1, max_length: int = MAX_LENGTH) -> DataFrame:
+def classify(payloads: DataFrame, predictor: Predictor, config: ClassifierConfig | None = None, batch_size: int = -1, max_length: int | None = MAX_LENGTH) -> DataFrame:
     """One label and score a text; ``label_map`` renames labels."""
     names = (config.label_map if config else None) or {}
 
@@ -94,7 +95,7 @@ def _renamed(predictor: Predictor, names: dict[str, str]) -> Predictor:
     return load
 
 
-def zero_shot(payloads: DataFrame, config: ClassifierConfig, predictor: Callable[[Sequence[str], bool], Predictor] | None = None, batch_size: int = -1, max_length: int = MAX_LENGTH) -> DataFrame:
+def zero_shot(payloads: DataFrame, config: ClassifierConfig, predictor: Callable[[Sequence[str], bool], Predictor] | None = None, batch_size: int = -1, max_length: int | None = MAX_LENGTH) -> DataFrame:
     """Scores of all given labels for each text."""
     if config is None:
         raise ValueError("zero-shot classification needs a config")
@@ -111,10 +112,10 @@ def zero_shot(payloads: DataFrame, config: ClassifierConfig, predictor: Callable
     return _split_first(payloads, config, analyze)
 
 
-def zero_shot_sentiment(payloads: DataFrame, predictor: Callable[[Sequence[str], bool], Predictor] | None = None, config: AnalyzerConfig | None = None) -> DataFrame:
+def zero_shot_sentiment(payloads: DataFrame, predictor: Callable[[Sequence[str], bool], Predictor] | None = None, config: AnalyzerConfig | None = None, batch_size: int = -1, max_length: int | None = MAX_LENGTH) -> DataFrame:
     base = config or AnalyzerConfig()
     own = ClassifierConfig(base.use_splitter_and_aggregator, base.splitter_config, base.aggregate_function, labels=["positive", "negative"], multi_class_classification=False, add_positive_negative_labels=False)
-    return zero_shot(payloads, own, predictor)
+    return zero_shot(payloads, own, predictor, batch_size, max_length)
 
 
 def lexicon_sentiment(payloads: DataFrame, *, rules: bool = True) -> DataFrame:
@@ -129,7 +130,7 @@ def entities(payloads: DataFrame, predictor: Predictor | None = None, *, batch_s
     return with_segment(payloads, "ner_data", predicted(F.col("processed_text"), predictor or pattern_entities, f"array<{ENTITY}>", batch_size, max_length))
 
 
-def translate(payloads: DataFrame, predictor: Predictor, *, batch_size: int = -1, max_length: int = MAX_LENGTH) -> DataFrame:
+def translate(payloads: DataFrame, predictor: Predictor, *, batch_size: int = -1, max_length: int | None = MAX_LENGTH) -> DataFrame:
     """The text replaced by its translation; the whole original is kept."""
     new = payloads.withColumn("__new", predicted(F.col("processed_text"), predictor, "string", batch_size, max_length))
     kept = with_segment(new, "translation_data", F.struct(F.col("processed_text").alias("original_text")))

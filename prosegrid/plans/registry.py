@@ -381,18 +381,18 @@ def analyze_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load():
         return lambda texts: [{"LABEL_1" if len(t) >= 500 else "LABEL_0": 0.75} for t in texts]
 
-    return _classes(analyze.classify(_documents(spark, sf_dir), load, config))
+    return _classes(analyze.classify(_documents(spark, sf_dir), load, config, max_length=None))
 
 
 @query
 def analyze_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = analyze.ClassifierConfig(labels=["facility", "food", "comfortable"])
-    return _classes(analyze.zero_shot(_conversations(spark, sf_dir), config))
+    return _classes(analyze.zero_shot(_conversations(spark, sf_dir), config, max_length=None))
 
 
 @query
 def analyze_zero_shot_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classes(analyze.zero_shot_sentiment(_conversations(spark, sf_dir)))
+    return _classes(analyze.zero_shot_sentiment(_conversations(spark, sf_dir), max_length=None))
 
 
 @query
@@ -403,7 +403,7 @@ def analyze_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def analyze_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = analyze.translate(_conversations(spark, sf_dir), analyze.dictionary_translator({"the": "le", "and": "et"}))
+    done = analyze.translate(_conversations(spark, sf_dir), analyze.dictionary_translator({"the": "le", "and": "et"}), max_length=None)
     return done.select("payload_id", "processed_text", F.col("segmented_data.translation_data.original_text").alias("original_text"))
 
 
@@ -457,7 +457,7 @@ def aggregate_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def analyze_split_and_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = analyze.ClassifierConfig(True, split.SplitterConfig(512), labels=["food", "facility"])
-    done = analyze.zero_shot(_conversations(spark, sf_dir), config)
+    done = analyze.zero_shot(_conversations(spark, sf_dir), config, max_length=None)
     return done.select("payload_id", F.explode("segmented_data.aggregator_data.avg_score").alias("label", "score")).withColumn("score", F.round("score", 6))
 
 
