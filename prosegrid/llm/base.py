@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from prosegrid.scratch import scratch_path, stored
 from prosegrid.sources.tables import read_table as table
 
-__all__ = ["arrow_map", "extended", "partitions", "scratch_path", "stored", "table", "utf8", "without"]
+__all__ = ["arrow_map", "extended", "partitions", "scratch_path", "slices", "stored", "table", "utf8", "without"]
+
+BATCH_BYTES = 4 << 20  # of Arrow data that an operator's function sees at once
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -32,13 +34,21 @@ def extended(df: DataFrame, names: Iterable[str], more: str = "") -> T.StructTyp
     return T.StructType(kept + (T.StructType.fromDDL(more).fields if more else []))
 
 
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes, a row at least."""
+    rows = batch.num_rows
+    step = max(1, rows * most // max(1, batch.nbytes))
+    return (batch.slice(at, step) for at in range(0, rows, step))
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """Applies ``make`` to each Arrow batch; nothing is kept between batches."""
+    """Applies ``make`` to each Arrow batch, in parts of bounded bytes; nothing is kept between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := make(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := make(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

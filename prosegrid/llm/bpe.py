@@ -3,15 +3,19 @@
 Compilation starts from the automaton with one state over the base symbols and applies one merge
 gadget per merge (u, v), in order: the state r that u leads to is copied without its v-arc, all
 u-arcs are led to the copy, and every state with a u-arc gets an arc uv to where v led from r.
-The result is deterministic and reads exactly the correct tokenizations. As all arcs with one
-label share their target, an automaton of 50,000 labels needs no explicit arc lists: a state is
-stored as (state it was copied from, label it lost, merge that made it), a label as (target,
-left part, merge that made it), and whether an arc exists follows from these tables (an arc is
-older than the state: the state's copy kept it or lost it; younger: its left part decides).
+The result is deterministic and reads exactly the correct tokenizations.
+
+Table: all arcs with one label share their target, so the state after a label u is known by u
+alone. It has lost the arcs that gadgets (u, v) took from it (one entry a merge: when), and has
+the others of the state it began as, which is the one that u's right part led to when u was made.
+A label that is younger than a state leads where its left part led. So a transition is decided
+by as many look-ups as the two labels have parts, and the table has one entry a merge instead of
+states x labels.
 
 Words are pre-split by the library's own normalizer and pre-tokenizer (ASCII text: by the file's
-pattern). Encoding walks a pre-split word: at each position exactly one state is reachable, labels that
-start there are taken where the state has that arc. Decoding emits the labels of the arcs.
+pattern). Encoding follows the transitions of a pre-split word: exactly one path reads each prefix, so each
+position is entered once at most, and a word costs its length times the longest label's. Decoding
+emits the labels of the arcs.
 
 The vocabulary file (format of the ``tokenizers`` library; BPE with an end-of-word suffix, NFC,
 white space dropped, lower case, byte-level symbols) is a parameter. Its added tokens are matched
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,8 @@ from prosegrid.llm.base import arrow_map, extended, utf8, without
 from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
-#: Bounds of a worker's tables of known pieces and words (each holds twice as many) and arcs, and of a piece's length.
-CACHED_PIECES, CACHED_WORDS, CACHED_ARCS, CACHED_BYTES = 150_000, 150_000, 400_000, 48
+#: A worker's tables of known pieces and of known words hold twice so many bytes each; longer pieces are not kept.
+TABLE_BYTES, CACHED_BYTES = 16 << 20, 48
 
 
 class MergeAutomaton:
@@ -49,91 +54,67 @@ class MergeAutomaton:
     def __init__(self, base: list[str], merges: list[tuple[str, str]]):
         self.labels = list(base)
         self.number = {label: i for i, label in enumerate(base)}
-        self.target = [0] * len(base)
-        self.left = [-1] * len(base)
-        self.made = [-1] * len(base)  # the merge that made the label
-        self.copied_from, self.lost, self.born = [0], [-1], [-1]  # state 0 is the start
-        self._arcs: dict[int, bool] = {}
+        self.left, self.right = array("i", [-1] * len(base)), array("i", [-1] * len(base))
+        self.made = array("i", [-1] * len(base))  # the merge that made the label
+        self.lost: dict[int, int] = {}  # (u, v): the merge whose gadget took the v-arc from the state after u
         for step, (u, v) in enumerate(merges):
             if u in self.number and v in self.number:  # else one of them never arises
                 self._gadget(step, self.number[u], self.number[v])
-        self._arcs.clear()
-        #: The labels by their symbols: nested dictionaries, with the label's number under "".
-        self.trie: dict = {}
-        for label, i in self.number.items():
-            node = self.trie
-            for symbol in label:
-                node = node.setdefault(symbol, {})
-            node[""] = i
+        self.longest = max(map(len, self.labels), default=0)
 
     def _gadget(self, step: int, u: int, v: int) -> None:
         label = self.labels[u] + self.labels[v]
         if label in self.number:
             raise ValueError(f"two merges make {label!r}")
-        reached = self.target[u]
-        if not self.has_arc(reached, v):
+        if not self.has_arc(u, v):
             return  # the pair never stands side by side when this merge's turn comes
         self.number[label] = len(self.labels)
         self.labels.append(label)
-        self.target.append(self.target[v])
         self.left.append(u)
+        self.right.append(v)
         self.made.append(step)
-        self.copied_from.append(reached)
-        self.lost.append(v)
-        self.born.append(step)
-        self.target[u] = len(self.born) - 1
-
-    def has_arc(self, state: int, label: int) -> bool:
-        """Whether ``state`` has an arc with ``label`` (answers are kept in a table)."""
-        key = state << 20 | label
-        if (known := self._arcs.get(key)) is not None:
-            return known
-        s, t = state, label
-        while s:
-            if self.born[s] > self.made[t]:
-                if self.lost[s] == t:
-                    break
-                s = self.copied_from[s]
+        self.lost[u << 20 | v] = step
+
+    def has_arc(self, u: int, v: int) -> bool:
+        """Whether the state after label ``u`` has an arc with label ``v``."""
+        made, lost = self.made, self.lost.get
+        when = 1 << 62  # only what was lost before counts
+        while True:
+            if (step := lost(u << 20 | v)) is not None and step < when:
+                return False
+            mu, mv = made[u], made[v]
+            if mu > mv:
+                when, u = mu, self.right[u]
+            elif mv >= 0:
+                when, v = mv + 1, self.left[v]  # the gadget that made v has passed this state
             else:
-                t = self.left[t]
-        if len(self._arcs) >= CACHED_ARCS:
-            self._arcs.clear()
-        self._arcs[key] = not s
-        return not s
+                return True
 
     def walk(self, word: str) -> list[int]:
-        """The labels of the one path that reads ``word``.
+        """The labels of the one path that reads ``word``; longer labels are tried first.
 
-        Long labels are tried first. At most one path leads to each position, so that no position is
-        entered twice, and the walk is linear in the word's arcs.
+        Exactly one path reads each prefix, so a position that was left again is never entered twice.
         """
-        n, here, at = len(word), 0, 0
+        number, has_arc, longest, n = self.number.get, self.has_arc, self.longest, len(word)
         path: list[int] = []
-        choices: list[list[int]] = []  # for each position on the path, the labels not tried yet
-        trie, target, labels, arcs = self.trie, self.target, self.labels, self._arcs
-        found: list[int] | None = None
+        starts: list[int] = []  # where each label of the path starts
+        left_again: set[int] = set()
+        at, end = 0, min(n, longest)
         while at < n:
-            if found is None:
-                found, node = [], trie
-                for symbol in word[at:]:
-                    node = node.get(symbol)
-                    if node is None:
-                        break
-                    if "" in node:
-                        found.append(node[""])
-            while found:
-                label = found.pop()
-                known = arcs.get(here << 20 | label)
-                if known or known is None and self.has_arc(here, label):
-                    choices.append(found)
+            while end > at:
+                label = number(word[at:end])
+                if label is not None and (not path or has_arc(path[-1], label)) and end not in left_again:
                     path.append(label)
-                    here, at, found = target[label], at + len(labels[label]), None
+                    starts.append(at)
+                    at, end = end, min(n, end + longest)
                     break
+                end -= 1
             else:
                 if not path:
                     raise ValueError(f"no path reads {word!r}")
-                at, found = at - len(labels[path.pop()]), choices.pop()
-                here = target[path[-1]] if path else 0
+                left_again.add(at)
+                path.pop()
+                at, end = starts.pop(), at - 1
         return path
 
 
@@ -174,7 +155,7 @@ class BPE:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)], pa.string())
-        self._pieces, self._word_ids = Generations(CACHED_PIECES), Generations(CACHED_WORDS)
+        self._pieces, self._word_ids = Generations(TABLE_BYTES), Generations(TABLE_BYTES)
 
     def encode_piece(self, piece: bytes) -> bytes:
         """The ids (int32, little-endian) of a piece of text without ASCII white space."""

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+ENTRY = 150  # bytes that an entry takes besides what its key and value hold
+
 
 class Generations(dict):
-    """A dictionary of at most ``2 * size`` entries: when the young half is full, the old half goes.
+    """A dictionary of at most about ``2 * size`` bytes: when the young half is full, the old half goes.
 
-    Look an entry up with ``get``; if that is empty, ``old`` may still have it.
+    Look an entry up with ``get``; if that is empty, ``old`` may still have it. Keys are str or
+    bytes; of values only bytes count for the size.
     """
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old = size, {}
+        self.size, self.held, self.old = size, 0, {}
 
     def put(self, key, value) -> None:
-        if len(self) >= self.size:
+        if self.held >= self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value

@@ -28,7 +28,8 @@ from prosegrid.llm.base import arrow_map, extended, utf8, without
 from prosegrid.llm.cache import Generations
 
 BATCH_BYTES = 1 << 18
-CACHED_PIECES, CACHED_BYTES = 500_000, 48
+#: The table of known pieces holds twice so many bytes; longer pieces are not kept.
+TABLE_BYTES, CACHED_BYTES = 32 << 20, 48
 
 
 def safe_boundaries(path: str) -> bool:
@@ -65,7 +66,7 @@ class Counter:
     def __init__(self, path: str):
         self.safe = safe_boundaries(path)
         self.lengths = self._library(path)
-        self.known = Generations(CACHED_PIECES)
+        self.known = Generations(TABLE_BYTES)
 
     @staticmethod
     def _library(path: str) -> Callable[[list[str]], list[int]]:

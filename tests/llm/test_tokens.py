@@ -69,13 +69,17 @@ def test_round_trip_of_odd_rows(odd):
 
 
 def test_bounded_caches(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_PIECES", 5)
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 5)
-    monkeypatch.setattr(bpe, "CACHED_ARCS", 50)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 1000)
     own = bpe.BPE(PATH)
     for text in samples()[800:1000]:
         assert bpe.np.frombuffer(own.encode(text.encode()), "<i4").tolist() == ids_of(text)
-    assert len(own._pieces) <= 5 and len(own._pieces.old) <= 5
+    assert len(own._pieces) <= 7 and len(own._pieces.old) <= 7
+
+
+def test_long_words_without_a_break():
+    rng = random.Random(8)
+    word = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000)) + "ab" * 3000
+    assert bpe.np.frombuffer(bpe.load(PATH).encode(word.encode()), "<i4").tolist() == ids_of(word)
 
 
 def test_counts_of_odd_rows(odd, empty):
