@@ -45,7 +45,7 @@ from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
 #: A worker's tables of known pieces and of known words hold twice so many bytes each; longer pieces are not kept.
-TABLE_BYTES, CACHED_BYTES = 16 << 20, 48
+TABLE_BYTES, CACHED_BYTES = 32 << 20, 48
 
 
 class MergeAutomaton:
@@ -152,7 +152,8 @@ class BPE:
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
             raise ValueError("added tokens must be matched in the raw text as they are")
-        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.added_starts = {t[0] for t in self.added}
+        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)], pa.string())
         self._pieces, self._word_ids = Generations(TABLE_BYTES), Generations(TABLE_BYTES)
@@ -161,11 +162,15 @@ class BPE:
         """The ids (int32, little-endian) of a piece of text without ASCII white space."""
         text = piece.decode("utf-8", "replace")
         out: list[bytes] = []
-        for part in self.split_added.split(text) if self.split_added else [text]:
+        number = self.automaton.number.get
+        for part in self.split_added.split(text) if any(c in text for c in self.added_starts) else [text]:
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
             for word in self._words(part):
+                if (label := number(word + END)) is not None:
+                    out.append(self.coded[label])
+                    continue
                 ids = self._word_ids.get(word)
                 if ids is None:
                     ids = self._word_ids.old.get(word) or b"".join([self.coded[i] for i in self.automaton.walk(word + END)])
