@@ -1,6 +1,9 @@
+import struct
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import xxhash
+
 from prosegrid.llm import sharding
 from pyspark.sql import functions as F
 
@@ -64,3 +67,47 @@ def test_main_path_is_native(odd):
 def test_written_shards(spark, odd, tmp_path):
     sharding.write_shards(sharding.shard_documents(odd, 4), f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == odd.count()
+
+
+def brute_shard(key, shards, seed):
+    """The law, with the hashes taken from the xxhash library."""
+    found = 0
+    for k in range(1, shards):
+        h = 42
+        for data in (struct.pack("<q", key), struct.pack("<i", k), struct.pack("<i", seed)):
+            h = xxhash.xxh64_intdigest(data, h)
+        if (h - (1 << 64) if h >> 63 else h) % (k + 1) == 0:
+            found = k
+    return found
+
+
+def test_query_equals_brute_force(spark):
+    from prosegrid.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = queries.op1_sharding(spark, data).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(docs.keys())
+    for r in found:
+        own = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(own) + 1, crc32(own), "key")
+        assert r["shard"] == brute_shard(r["doc_id"], 16, 20240229) and r["grown_shard"] == brute_shard(r["doc_id"], 17, 20240229)
+    for shard in range(16):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    """Rows that are equal in everything: no bucket holds more than its bytes, by and large."""
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 199).alias("text")).repartition(4)
+    found = sharding.shard_documents(rows, 4, bucket_bytes=16_000)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert found.count() == 3000 and max(sizes) * 200 < 3 * 16_000
+    assert sorted(r["slot"] for r in found.collect()) == list(range(3000))
+
+
+def test_several_buckets_a_task(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASKS", 3)
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("text of some length").alias("text"))
+    found = sharding.shard_documents(rows, 8, bucket_bytes=500).collect()
+    for shard in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
