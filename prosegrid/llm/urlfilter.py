@@ -11,9 +11,14 @@ it passes all levels and their number is odd), so that looking a key up needs no
 There is a cascade for blocked and one for allowed rules. The longest listed key of a URL is its
 rule; a URL without one gets the verdict ``allow``, as none of its keys is blocked.
 
+What is broadcast is bounded: if the keys and the expected false positives would need filters of over
+``FILTER_BYTES``, keys are cut into shards by their hash, each with cascades of its own, and the URLs
+are passed once a shard, each pass keeping the longest key so far. Any number of keys is exact.
+
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; ties in
 length go to the longer host; repeated URLs are rows of their own; an empty table gives no rows;
-columns named like an output column are dropped. A rule's path may be of any length, cut anywhere.
+columns named like an output column are dropped. A rule's path may be of any length, cut anywhere;
+of very long URLs only host and path starts become keys.
 """
 
 from __future__ import annotations
@@ -24,15 +29,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.llm.base import arrow_map, extended, stored, without
 
 ADDED = ("host", "path", "rule", "verdict")
 BITS_PER_KEY, HASHES = 10, 7
-#: No filter is broadcast beyond this size; it holds over 50 million keys.
-MAX_FILTER_BYTES = 64 << 20
+FALSE_POSITIVES = 0.01  # of the other keys, at most, for these figures
+FILTER_BYTES = 64 << 20  # of filters that are broadcast at once, as expected
+STATE = ("__rank", "__rule", "__verdict")
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -87,8 +93,6 @@ class Cascade:
 def bloom(keys: DataFrame, n: int, seed: int) -> Bloom:
     """A filter of the ``n`` rows of ``keys`` (column key): partial filters per task, then merged by word."""
     size = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-    if size > 8 * MAX_FILTER_BYTES:
-        raise ValueError(f"{n} keys need a filter of over {MAX_FILTER_BYTES} bytes; split the list")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
@@ -147,37 +151,59 @@ def universe_of(pages: DataFrame, lengths: list[int], url: str = "url") -> DataF
     return arrow_map(pages.select(F.col(url).alias("url")), make, "key string").distinct()
 
 
-def build(spark: SparkSession, pages: DataFrame, allow: DataFrame, block: DataFrame, lengths: list[int], *, url: str = "url") -> tuple[Cascade, Cascade]:
-    """The cascades of allowed and blocked keys (column key, distinct) over the universe of ``pages``."""
-    universe = stored(universe_of(pages, lengths, url), "universe")
-    return build_cascade(allow, universe), build_cascade(block, universe)
+def shard_of(key: str, shards: int) -> int:
+    """The shard of a key; ``in_shard`` is the same for columns."""
+    own = xxhash.xxh64_intdigest(key, 42)
+    return (own - (1 << 64) if own >> 63 else own) % shards
+
+
+def in_shard(keys: DataFrame, number: int, shards: int) -> DataFrame:
+    return keys if shards == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == number)
+
 
+def build(allow: DataFrame, block: DataFrame, universe: DataFrame, number: int = 0, shards: int = 1) -> tuple[Cascade, Cascade]:
+    """The cascades of the allowed and blocked keys (column key, distinct) of a shard over the universe."""
+    own = in_shard(universe, number, shards)
+    return build_cascade(in_shard(allow, number, shards), own), build_cascade(in_shard(block, number, shards), own)
 
-def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tuple[str, str]], *, url: str = "url") -> DataFrame:
+
+def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tuple[str, str]], *, url: str = "url", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict; rules are (host, path) pairs."""
     spark = pages.sparkSession
     pages = without(pages, ADDED)
     names = pages.columns
     lengths = sorted({len(p) for _, p in [*allow, *block]})
     table = lambda rules: spark.createDataFrame([(k,) for k in sorted({rule_key(*r) for r in rules})], "key string")
-    cascades = spark.sparkContext.broadcast(build(spark, pages, table(allow), table(block), lengths, url=url))
-    schema = extended(pages, names, ", ".join(f"{n} string" for n in ADDED))
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        allowed, blocked = cascades.value
-        known: dict[str, str | None] = {}
-        out = []
-        for u in batch.column(names.index(url)).to_pylist():
-            host, path = split_url(u)
-            rule = verdict = None
-            for key in candidates(host, path, lengths):
-                if key not in known:
-                    known[key] = "block" if key in blocked else "allow" if key in allowed else None
-                if verdict := known[key]:
-                    rule = key
-                    break
-            out.append((host, path, rule, verdict or "allow"))
-        columns = [pa.array([row[k] for row in out], pa.string()) for k in range(4)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *ADDED])
-
-    return arrow_map(pages, make, schema)
+    lists = table(allow), table(block)
+    universe = stored(universe_of(pages, lengths, url), "universe")
+    bits = BITS_PER_KEY * (len({*allow, *block}) + 2 * FALSE_POSITIVES * universe.count())
+    shards = max(1, int(-(-bits // (8 * filter_bytes))))
+    schema = extended(pages, names, "host string, path string, __rank int, __rule string, __verdict string")
+    out = pages.withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "__rank": F.lit(None).cast("int"), "__rule": F.lit(None).cast("string"), "__verdict": F.lit(None).cast("string")})
+    for number in range(shards):
+        cascades = spark.sparkContext.broadcast(build(*lists, universe, number, shards))
+
+        def make(batch: pa.RecordBatch, cascades=cascades, number=number) -> pa.RecordBatch:
+            allowed, blocked = cascades.value
+            known: dict[str, str | None] = {}
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            found = []
+            for u, *before in zip(column(url).to_pylist(), *(column(n).to_pylist() for n in STATE)):
+                host, path = split_url(u)
+                best = tuple(before)
+                for rank, key in enumerate(candidates(host, path, lengths)):
+                    if best[0] is not None and best[0] <= rank:
+                        break
+                    if shards > 1 and shard_of(key, shards) != number:
+                        continue
+                    if key not in known:
+                        known[key] = "block" if key in blocked else "allow" if key in allowed else None
+                    if known[key]:
+                        best = rank, key, known[key]
+                        break
+                found.append((host, path, *best))
+            columns = [pa.array([row[k] for row in found], pa.int32() if k == 2 else pa.string()) for k in range(5)]
+            return pa.RecordBatch.from_arrays([*[column(n) for n in names], *columns], names=[*names, *ADDED[:2], *STATE])
+
+        out = arrow_map(stored(out, "urls") if number else out, make, schema)
+    return out.select(*[f"`{c}`" for c in names], "host", "path", F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit("allow")).alias("verdict"))

@@ -51,9 +51,17 @@ def test_cascade_is_exact(spark):
     assert "x" not in urlfilter.build_cascade(frame(set()), frame(universe))
 
 
-def test_too_large_a_filter_is_an_error(spark):
-    with pytest.raises(ValueError):
-        urlfilter.bloom(spark.createDataFrame([("a",)], "key string"), 10**9, 1)
+def test_any_number_of_keys_is_exact(spark):
+    """A bound of a few bytes gives many shards, and the same rows."""
+    df = spark.createDataFrame(list(enumerate(urls())), "page_id long, url string").repartition(2)
+    whole, cut = (sorted(map(str, urlfilter.filter_urls(df, ALLOW, BLOCK, filter_bytes=b).collect())) for b in (1 << 20, 4))
+    assert whole == cut
+
+
+def test_shards_are_the_same_in_both_languages(spark):
+    keys = [f"é{n}.org/" for n in range(200)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    assert all({r["key"] for r in urlfilter.in_shard(frame, k, 3).collect()} == {x for x in keys if urlfilter.shard_of(x, 3) == k} for k in range(3))
 
 
 def test_arc_versions():
