@@ -38,6 +38,7 @@ from prosegrid.llm.base import arrow_map, extended, partitions, stored, utf8, wi
 from prosegrid.llm.components import connected_components
 
 FANOUT = 8
+CHUNK = 1 << 16  # fingerprints of one group that one task takes at most, twice
 SEED = 42
 ADDED = ("fingerprint", "component_id")
 
@@ -183,11 +184,11 @@ def links(distinct: DataFrame, n: int, distance: int, at_once: int = 1 << 17) ->
         chosen += 1
     masks = block_masks(distance, chosen)
     width = partitions(distinct.sparkSession)
-    bound = max(64, len(masks) * n // (4 * width))
+    bound = min(CHUNK, max(64, len(masks) * n // (4 * width)))
     dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("block", "value"))
-    # At most 4 * width groups exceed the bound, whatever the data.
+    # Below the fixed bound at most 4 * width groups are large; beyond it their number grows, so the plan decides whether to broadcast them.
     large = dealt.groupBy("block", "value").count().where(F.col("count") > bound).select("block", "value", F.ceil(F.col("count") / bound).cast("int").alias("chunks"))
-    placed = dealt.join(F.broadcast(large), ["block", "value"], "left").select(
+    placed = dealt.join(large, ["block", "value"], "left").select(
         "fp", "block", "value", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int").alias("own")
     )
     tasks = placed.select("fp", "block", "value", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
@@ -235,10 +236,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_each: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` of which no smaller key is reachable; rows with a null key stay if their group has no other.
-
-    Of several rows with the same key all stay (they are told apart by nothing that the operator knows).
-    """
-    found = near_duplicates(docs, key=key, text=text, words_each=words_each, distance=distance)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of ``docs`` of each group: the one with the smallest key, of equal keys the first; a null key comes last."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    found = near_duplicates(numbered.select(place.alias("__place"), F.col(text).alias("__text")), key="__place", text="__text", words_each=words_each, distance=distance)
+    kept = found.select(F.col("component_id.row").alias("__row")).distinct()
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -71,6 +71,14 @@ def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_row_by_row(spark):
+    """Repeated rows, and keys that stand in several groups: one row of each group stays."""
+    a, b, c = ("one two three four five six seven", "other words in this text here now", "quite another text of seven words again")
+    rows = [(3, a), (5, a), (5, b), (2, c), (2, c), (None, a), (None, "alone with no key at all today")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, a), (5, b), (2, c), (None, rows[-1][1])], key=str)
+
+
 def test_keep_one_keeps_columns(odd):
     kept = simhash.keep_one(odd.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x")))
     assert kept.columns == [*odd.columns, "fp", "component_id"]
