@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from prosegrid.llm import decontam
 from pyspark.sql import functions as F
@@ -54,19 +55,30 @@ def test_against_brute_force(spark):
 
 
 def test_stored_index(spark, tmp_path):
-    """The index is a table of posting lists; matching the stored table finds the same."""
+    """The index is a table of the posting lists of all terms; searching the stored table finds the same."""
     docs, items = corpus()
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    phrases = spark.sparkContext.broadcast(decontam.Phrases.of([("" if i is None else str(i), decontam.words_of((t or "").encode())) for i, t in items]))
-    index = decontam.index_documents(df, phrases).drop("text")
-    for r in index.collect():
-        own = words(dict(docs)[r["doc_id"]])
-        terms = {v: k.decode() for k, v in phrases.value.terms.items()}
-        assert r["n_words"] == len(own) and all(own[p] == terms[t] for t, p in zip(r["__terms"], r["__positions"]))
-        assert len(r["__positions"]) == sum(w.encode() in phrases.value.terms for w in own)
-    index.write.parquet(f"file://{tmp_path}/index")
-    found = decontam.match(spark.read.parquet(f"file://{tmp_path}/index"), phrases)
-    assert sorted((r["doc_id"], len(r["__hits"]), sorted(r["__items"])) for r in found.collect()) == sorted((d, *brute(t, items)[1:3]) for d, t in docs)
+    df = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(docs)], "k long, doc_id long, text string").repartition(3)
+    decontam.build_index(df, segment_words=500).write.parquet(f"file://{tmp_path}/index")
+    index = spark.read.parquet(f"file://{tmp_path}/index")
+    placed = {(r["segment"], p): r for r in index.where("term is null").collect() for p in range(r["first"], r["first"] + r["n_words"])}
+    have = {}
+    for r in index.where("term is not null").collect():
+        own = decontam.np.frombuffer(r["positions"], "<i4").tolist()
+        assert own == sorted(own) and len(own) == r["n"]
+        for p in own:
+            d = placed[r["segment"], p]
+            have[d["own"]["k"], p - d["first"]] = bytes(r["term"]).decode()
+    assert have == {(k, p): w for k, (_, t) in enumerate(docs) for p, w in enumerate(words(t))}
+    assert index.select("segment").distinct().count() > 10
+    found = decontam.contamination_by(index, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["k"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found.collect()) == sorted((k, *brute(t, items)) for k, (_, t) in enumerate(docs))
+
+
+def test_the_query_reads_the_stored_index(spark):
+    from prosegrid.llm import queries
+
+    plan = queries.op4_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "positions" in plan and "index-" in plan and "documents.parquet" not in plan
 
 
 def test_small_candidate_blocks(monkeypatch):
@@ -74,9 +86,10 @@ def test_small_candidate_blocks(monkeypatch):
     docs, items = corpus()
     phrases = decontam.Phrases.of([("" if i is None else str(i), decontam.words_of((t or "").encode())) for i, t in items])
     index = decontam.PositionalIndex.of_words([decontam.words_of((t or "").encode()) for _, t in docs], phrases.terms)
-    hits, found = decontam.search(index, phrases)
-    for (_, text), h, f in zip(docs, hits, found):
-        assert (len(h), sorted(f)) == brute(text, items)[1:3]
+    for rarity in (index.counts, -index.counts):  # any order of intersection finds the same
+        hits, found = decontam.search(index, phrases, rarity)
+        for (_, text), h, f in zip(docs, hits, found):
+            assert (len(h), sorted(f)) == brute(text, items)[1:3]
 
 
 def test_odd_rows_and_empty_tables(spark, odd, empty):
@@ -94,7 +107,24 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
 def test_proximity():
     terms = {b"a": 0, b"b": 1, b"c": 2}
     index = decontam.PositionalIndex.of_words([b"a x b x x c".split(), b"b a".split(), b"c".split()], terms)
-    at = lambda words, span: index.proximity(decontam.np.array([terms[w] for w in words]), span).tolist()
+    at = lambda words, span: index.proximity(decontam.np.array([terms[w] for w in words]), span, index.counts).tolist()
     assert at([b"a", b"b"], 1) == [8] and at([b"a", b"b"], 2) == [0, 8]
     assert at([b"a", b"c"], 4) == [] and at([b"a", b"c"], 5) == [0]
     assert at([b"b", b"c"], 2) == []
+
+
+def test_proximity_over_the_stored_index(spark):
+    docs, _ = corpus()
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "k long, text string").repartition(3)
+    asked = [("p", "w1 w2 w3"), ("q", "x W7"), ("none", "w1 nowhere")]
+    counts = Counter(w for _, t in docs for w in words(t))
+    want = []
+    for name, text in asked:
+        own = set(words(text))
+        rare = [w for w in own if counts[w] == min(counts[x] for x in own)]
+        assert len(rare) == 1
+        for k, (_, t) in enumerate(docs):
+            found = words(t)
+            want += [(k, name, p) for p, w in enumerate(found) if w == rare[0] and own <= set(found[max(0, p - 6) : p + 7])]
+    have = decontam.proximity(decontam.stored(decontam.build_index(df, segment_words=700), "index"), asked, 6)
+    assert sorted(map(tuple, have.collect())) == sorted(want) and want
