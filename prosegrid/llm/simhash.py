@@ -56,9 +56,9 @@ def shingle_hashes(text: bytes | None, words_each: int = 4) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words_each - 1 :].tolist())]
 
 
-def simhash(hashes: list[int]) -> int:
+def simhash(hashes: list[int] | np.ndarray) -> int:
     """The majority word of unsigned 64-bit hashes (0 for none)."""
-    if not hashes:
+    if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # very long texts in pieces
