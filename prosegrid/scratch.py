@@ -6,11 +6,33 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_open = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "paths"):
+        _open.paths = []
+    return _open.paths
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are removed at its end; those stored with ``keep`` live as long as the scope around it."""
+    scopes = _scopes()
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +63,16 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
+    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before. The table is
+    removed with the ``scope`` it is stored in, if there is one.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    scopes = _scopes()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
