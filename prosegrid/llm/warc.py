@@ -7,9 +7,13 @@ delimits a record. The converter synthesises for each record a WARC-Record-ID, a
 record type, block and payload digests (SHA-1) and lengths; a record whose payload is held by
 another record becomes a revisit of it, with the HTTP headers but without the payload.
 
-Archives are written by Spark's text writer (one gzip file a task and ``records_per_file`` records,
-the record separator being the line separator) and read back as whole files, so both go through
-the file system that Spark uses.
+Archives are written by Spark's text writer (gzip files of about ``FILE_BYTES`` of records each, or one
+longer record, the record separator being the line separator) and read back as whole files, so both
+go through the file system that Spark uses. The reader recomputes the digest of every block, and of
+every payload that a record holds, and refuses a record that does not match its header.
+
+Payloads are compared by digests; rows that need no comparison are dealt out by their keys, and
+equal payloads over ``SALTS`` parts, as one of them may be that of a third of all pages.
 
 Defined cases: a null payload is empty; a null URL is ``about:blank``; white space in URLs is
 percent-encoded, as header lines are cut at blanks; of rows with equal payloads and the same
@@ -25,6 +29,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, scratch_path, utf8
+from prosegrid.llm.base import arrow_map, scratch_path, slices, utf8
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 2000
+FILE_BYTES = 32 << 20  # of records, before compression
+SALTS = 16
 # The header lines of ARC versions 1 and 2, and the WARC revisit profile.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -158,6 +164,12 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         block = stream.read(length)
         if len(block) != length:
             raise ValueError(f"{headers['WARC-Record-ID']} declares {length} bytes but {len(block)} are left")
+        own = {"WARC-Block-Digest": block}
+        if headers["WARC-Type"] in ("response", "resource"):
+            own["WARC-Payload-Digest"] = split_http(block)[1]
+        for name, data in own.items():
+            if name in headers and headers[name] != digest(data):
+                raise ValueError(f"{headers['WARC-Record-ID']}: {name} does not fit")
         yield headers, block
 
 
@@ -168,18 +180,26 @@ def originals(pages: DataFrame, *, key: str, url: str, html: str, least_bytes: i
     several = (
         rows.where("same is not null").groupBy("same")
         .agg(F.max(F.struct("key", "url")).alias("top"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and top.key is not null").select("same", F.col("top.key").alias("origin"), F.col("top.url").alias("origin_url"))
+        .where("n > 1 and top.key is not null").select(F.col("same").alias("of"), F.col("top.key").alias("origin"), F.col("top.url").alias("origin_url"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    found = rows.join(several, "same", "left")
+    # Rows without a digest find no partner, whatever they are dealt by.
+    salted = rows.withColumns({"own_part": F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"), "by": F.coalesce("same", F.xxhash64("key", "url", "payload").cast("string"))})
+    found = salted.join(several, (F.col("by") == F.col("of")) & (F.col("own_part") == F.col("part")), "left")
     other = ~F.col("key").eqNullSafe(F.col("origin"))
     return found.select("key", "url", "payload", F.when(other, F.col("origin")).alias("origin"), F.when(other, F.col("origin_url")).alias("origin_url"))
 
 
 def to_warc(rows: DataFrame, *, date: str = "20240101000000") -> DataFrame:
-    """Packs (key, url, payload, origin, origin_url) into ARC files of both versions, a file an Arrow batch, and converts them."""
+    """Packs (key, url, payload, origin, origin_url) into ARC files, one of each version for every batch, and converts them.
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        listed = batch.to_pylist()
+    The version follows from the page, so it does not depend on how the rows are dealt out. ``file`` numbers
+    the files of a task, each of FILE_BYTES of records at least, and of one record more at most.
+    """
+
+    def pack(listed: list[dict], version: int) -> list[bytes]:
+        if not listed:
+            return []
         records, origins = [], {}
         for at, row in enumerate(listed):
             own = "" if row["key"] is None else str(row["key"])
@@ -188,18 +208,31 @@ def to_warc(rows: DataFrame, *, date: str = "20240101000000") -> DataFrame:
             if row["origin"] is not None:
                 uri = clean_uri(row["origin_url"])
                 origins[at] = (record_id(uri, warc_date(date), str(row["origin"])), uri, str(row["origin"]))
-        version = 1 + len(records) % 2
         arc = write_arc(records, version, f"part-{listed[0]['key']}.arc", date)
-        out = [convert(record, origins.get(at - 1)) for at, record in enumerate(read_arc(arc))]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    return arrow_map(rows, make, "record binary")
-
-
-def write_archives(records: DataFrame, path: str, *, records_per_file: int = RECORDS_PER_FILE) -> None:
+        return [convert(record, origins.get(at - 1)) for at, record in enumerate(read_arc(arc))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = 0
+        for batch in batches:
+            for part in slices(batch):
+                listed = part.to_pylist()
+                of = [1 + zlib.crc32(str(row["key"]).encode()) % 2 for row in listed]
+                out = [x for version in (1, 2) for x in pack([row for row, v in zip(listed, of) if v == version], version)]
+                numbers = []
+                for record in out:
+                    if size >= FILE_BYTES:
+                        file, size = file + 1, 0
+                    size += len(record)
+                    numbers.append(file)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(numbers, pa.int32())], names=["record", "file"])
+
+    return rows.mapInArrow(run, "record binary, file int")
+
+
+def write_archives(records: DataFrame, path: str) -> None:
     """Writes gzip-compressed WARC files; a record's last line end is the writer's separator."""
-    whole = records.select(F.expr("substring(record, 1, octet_length(record) - 2)").cast("string").alias("value"))
-    whole.write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
+    whole = records.select(F.expr("substring(record, 1, octet_length(record) - 2)").cast("string").alias("value"), "file")
+    whole.write.options(lineSep="\r\n", compression="gzip").partitionBy("file").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
