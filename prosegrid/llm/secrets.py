@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models for what no pattern names.
 
 Two first-order models over the characters of keys, one of random strings and one of ordinary
-identifiers, are trained from labelled samples. In every run of key characters the stretch of at
+identifiers, are trained from the labelled samples in ``secret_samples.txt`` (or others), once, by the
+driver, and are broadcast. In every run of key characters the stretch of at
 least ``LEAST`` characters is sought whose log-likelihood ratio exceeds ``THRESHOLD`` a character
 by the most in sum; it is widened to whole pieces between delimiters, and what lies on both sides of
 it is searched again. A stretch that holds letters and digits is a secret, whatever names or
@@ -15,13 +16,10 @@ like an output column are dropped; texts are scanned whole, at any length.
 
 from __future__ import annotations
 
-import builtins
 import functools
-import keyword
-import random
+import pkgutil
 import re
 import string
-import sys
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
@@ -34,8 +32,6 @@ from prosegrid.llm.base import arrow_map, extended, without
 
 KINDS = ("assign", "access", "hex", "random")
 ADDED = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
-SAMPLES = 4000  # labelled strings of each class
-SEED = 7
 THRESHOLD = 0.7  # nats a character
 LEAST, WINDOW = 20, 64
 DELIMITER = re.compile("[/_=-]")
@@ -59,19 +55,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def labelled_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]]:
-    """(string, whether it is random): keys in common encodings, and identifiers built from known names and prose words."""
-    rng = random.Random(seed)
-    encodings = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "_-"]
-    out = [("".join(rng.choices(encodings[k % len(encodings)], k=rng.randint(20, 64))), True) for k in range(n)]
-    names = sorted({*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(sys), *dir(np)})
-    words = sorted({w.lower() for name in names for w in re.findall(r"[A-Za-z][a-z]+|[A-Z]+", name) if len(w) > 1})
-    for k in range(n):
-        parts = rng.choices(words, k=rng.randint(1, 5))
-        style = k % 6
-        text = ["_".join(parts), "".join(p.title() for p in parts), "-".join(parts), "_".join(parts).upper(), "/".join(parts), "".join(parts)][style]
-        out.append((text + rng.choice(["", "", str(rng.randint(0, 9)), f"_{rng.randint(1990, 2030)}", f"-{rng.randint(0, 99)}"]), False))
-    return out
+def labelled_samples() -> list[tuple[str, bool]]:
+    """(string, whether it is random): 4,000 keys in common encodings, and 4,000 identifiers."""
+    lines = pkgutil.get_data(__package__, "secret_samples.txt").decode().splitlines()
+    return [(line[2:], line[0] == "1") for line in lines if not line.startswith("#")]
 
 
 @dataclass
@@ -174,15 +161,16 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def scan_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, *, text: str = "text", model: Markov | None = None) -> DataFrame:
     """``docs`` without the text, with counts of the fixed kinds, base_spans and spans (``kind:start:end``, comma-joined)."""
     docs = without(docs, ADDED)
     rest = [c for c in docs.columns if c != text]
     sent = docs.select(*[f"`{c}`" for c in rest], F.col(text).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())  # a matrix of the alphabet's size
     schema = extended(sent, rest, "n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = default_model()
+        model = shared.value
         found = [scan(t.as_py(), model) for t in batch.column(len(rest))]
         numbers = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS[:3]]
         texts = [pa.array([listed(f[k]) for f in found], pa.string()) for k in (0, 1)]
@@ -191,11 +179,12 @@ def scan_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return arrow_map(sent, make, schema)
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", model: Markov | None = None) -> DataFrame:
     """``docs`` with every span of the text column replaced by ``mark``; other columns and texts stay as they are."""
     names = docs.columns
     at = names.index(text)
     schema = extended(docs, names)
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
     def clean(value: str | None, model: Markov) -> str | None:
         spans = scan(value, model)[1]
@@ -207,7 +196,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> Da
         return "".join([*out, value[done:]]) if spans else value
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = default_model()
+        model = shared.value
         columns = list(batch.columns)
         columns[at] = pa.array([clean(t, model) for t in columns[at].to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays(columns, names=names)

@@ -37,8 +37,9 @@ def test_odd_rows(odd, empty):
 
 
 def test_models_tell_classes_apart():
-    model = secrets.default_model()
-    held = secrets.labelled_samples(1000, seed=99)
+    samples = secrets.labelled_samples()
+    held = samples[1::4]
+    model = secrets.Markov.train([x for k, x in enumerate(samples) if k % 4 != 1])
     right = [(model.score(t) > secrets.THRESHOLD) == label for t, label in held if len(t) >= secrets.LEAST]
     assert sum(right) / len(right) > 0.97
     prose = ["donaudampfschifffahrtsgesellschaft", "chpfheitschverheiten", "internationalization_2024", "some-very-long-article-title-from-2023", "https://example.org/en/articles/2024/01"]
