@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosegrid.scratch import scratch_path, stored
+from prosegrid.scratch import scope, scratch_path, stored
 from prosegrid.sources.tables import read_table as table
 
-__all__ = ["arrow_map", "extended", "partitions", "scratch_path", "slices", "stored", "table", "utf8", "without"]
+__all__ = ["arrow_map", "extended", "partitions", "scope", "scratch_path", "slices", "stored", "table", "utf8", "without"]
 
 BATCH_BYTES = 4 << 20  # of Arrow data that an operator's function sees at once
 

@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosegrid.llm.base import partitions, slices, stored, utf8, without
+from prosegrid.llm.base import partitions, scope, slices, stored, utf8, without
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
 CANDIDATES = 1 << 20  # pairs that are looked at together
 SEGMENT_WORDS = 1 << 20
+BROADCAST_ROWS = 1_000_000  # digests of 16 bytes
 SEGMENTS = 20  # bits of a segment's number within its task
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 LISTS = "segment long, term binary, n int, positions binary"
@@ -326,7 +327,10 @@ def contamination(
 
     A document is contaminated if at least one word in 20 is hit.
     """
-    return contamination_by(stored(build_index(without(docs, ADDED), text=text), "index"), benchmark, item=item, item_text=item_text, window=window, block_words=block_words)
+    with scope(docs.sparkSession):
+        index = stored(build_index(without(docs, ADDED), text=text), "index")
+        found = contamination_by(index, benchmark, item=item, item_text=item_text, window=window, block_words=block_words)
+        return stored(found, "contamination", keep=True)
 
 
 def contamination_by(index: DataFrame, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -375,6 +379,10 @@ def proximity(index: DataFrame, queries: list[tuple[str, str]], span: int) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = contamination(numbered.select("__row", F.col(text).alias("__text")), benchmark, text="__text").where("contaminated").select("__row")
-    return numbered.join(found, "__row", "left_anti").drop("__row")
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))  # the verdict follows from the text alone
+    with scope(docs.sparkSession):
+        found = contamination(docs.select(digest.alias("__digest"), F.col(text).alias("__text")), benchmark, text="__text")
+        bad = stored(found.where("contaminated").select("__digest").distinct(), "contaminated", keep=True)
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, digest == F.col("__digest"), "left_anti")

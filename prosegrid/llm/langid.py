@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, stored, without
+from prosegrid.llm.base import arrow_map, extended, scope, stored, without
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -153,9 +153,13 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Model:
                     counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
         yield from (table(x, own.pop(x)) for x in list(own))
 
-    sums = stored(rows.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")), "languages")
+    with scope(docs.sparkSession):
+        return Model(list(_blocks(stored(rows.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")), "languages"))))
+
+
+def _blocks(sums: DataFrame) -> Iterator[Block]:
+    """The matrices of (l, bucket, n), in the order of the languages' names."""
     names = [r["l"] for r in sums.select("l").distinct().orderBy("l").toLocalIterator()]
-    blocks = []
     for at in range(0, len(names), BLOCK):
         own = names[at : at + BLOCK]
         found = sums.where(F.col("l").between(own[0], own[-1])).toArrow()  # at most BLOCK x BUCKETS rows
@@ -163,8 +167,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Model:
         column = {x: k for k, x in enumerate(own)}
         place = np.array([column[x] for x in found.column("l").to_pylist()], np.int64)
         matrix[found.column("bucket").to_numpy(), place] += found.column("n").to_numpy()
-        blocks.append(Block(own, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)))
-    return Model(blocks)
+        yield Block(own, np.log(matrix / matrix.sum(axis=0)).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

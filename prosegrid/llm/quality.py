@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, stored, utf8, without
+from prosegrid.llm.base import arrow_map, extended, scope, stored, utf8, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios, as (count, over); the mean length of a word is no share and has a lower threshold too.
@@ -162,7 +162,9 @@ def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: st
     own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("__lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("__source"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = stored(base_counts(own, text="__text").withColumns(ratios()).withColumn("__failed", failed), "counts")
-    found = joined(measured, stored(limits(measured), "thresholds"))
+    with scope(docs.sparkSession):
+        thresholds = stored(limits(measured), "thresholds", keep=True)
+    found = joined(measured, thresholds)
     inside = F.lit(True)
     for k, (count, over) in RATIOS.items():
         if k in BOTH_SIDES:

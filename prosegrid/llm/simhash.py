@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, partitions, stored, utf8, without
+from prosegrid.llm.base import arrow_map, extended, partitions, scope, stored, utf8, without
 from prosegrid.llm.components import connected_components
 
 FANOUT = 8
@@ -227,12 +227,18 @@ def links(distinct: DataFrame, n: int, distance: int, at_once: int = 1 << 17) ->
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_each: int = 4, distance: int = 4) -> DataFrame:
     """(key, fingerprint, component_id) of every row; component_id is the least key that links reach."""
     found = stored(fingerprints(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), text="__text", words_each=words_each), "fingerprints")
+    with scope(docs.sparkSession):
+        named = stored(_components(found, distance), "components", keep=True)
+    return found.join(named, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(found: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) of all fingerprints of (__key, fp)."""
     distinct = stored(found.groupBy("fp").agg(F.min("__key").alias("least")), "distinct")
     roots = connected_components(links(distinct.select("fp"), distinct.count(), distance))
     rooted = stored(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_each: int = 4, distance: int = 4) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, stored, without
+from prosegrid.llm.base import arrow_map, extended, scope, stored, without
 
 ADDED = ("host", "path", "rule", "verdict")
 BITS_PER_KEY, HASHES = 10, 7
@@ -181,7 +181,8 @@ def filter_urls(pages: DataFrame, allow: list[tuple[str, str]], block: list[tupl
     schema = extended(pages, names, "host string, path string, __rank int, __rule string, __verdict string")
     out = pages.withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "__rank": F.lit(None).cast("int"), "__rule": F.lit(None).cast("string"), "__verdict": F.lit(None).cast("string")})
     for number in range(shards):
-        cascades = spark.sparkContext.broadcast(build(*lists, universe, number, shards))
+        with scope(spark):
+            cascades = spark.sparkContext.broadcast(build(*lists, universe, number, shards))
 
         def make(batch: pa.RecordBatch, cascades=cascades, number=number) -> pa.RecordBatch:
             allowed, blocked = cascades.value

@@ -74,11 +74,14 @@ def test_stored_index(spark, tmp_path):
     assert sorted((r["k"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found.collect()) == sorted((k, *brute(t, items)) for k, (_, t) in enumerate(docs))
 
 
-def test_the_query_reads_the_stored_index(spark):
-    from prosegrid.llm import queries
-
-    plan = queries.op4_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+def test_the_search_reads_the_stored_index(spark):
+    """No document is read again: hits come from the lists of the written table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    index = decontam.stored(decontam.build_index(docs), "index")
+    found = decontam.contamination_by(index, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "positions" in plan and "index-" in plan and "documents.parquet" not in plan
+    assert found.where("contaminated").count() > 0
 
 
 def test_small_candidate_blocks(monkeypatch):
