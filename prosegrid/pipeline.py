@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from prosegrid.scratch import remove, scope, stored
 from prosegrid.sources import cursor
 from prosegrid.state import Workflow, WorkflowStore
 
@@ -32,23 +34,32 @@ class Pipeline:
     def run(self, workflow: Workflow | None = None, store: WorkflowStore | None = None, *, progress: Callable[[DataFrame], DataFrame] | None = None) -> bool:
         """Sends what is new; the cursors move on only after the sink has taken everything (at least once).
 
-        ``progress`` gives the records (key, id, ts) that the cursors follow, from the cursors before.
+        The source's rows are written first, and both the sink and the cursors see these rows, so
+        that nothing that arrives meanwhile is marked as done. ``progress`` gives the records (key, id,
+        ts) that the cursors follow, from the source's rows. Cursors are a table beside the store; the
+        source state names it. A sink or step with a ``state`` method has its state kept, too.
         """
         if self.source is None or self.sink is None:
             return False
-        cursors = None
-        if workflow and store and (state := store.get_source_state(workflow.id)):
-            rows = [(k, v["since_time"], v["since_id"]) for k, v in state.items()]
-            cursors = store.spark.createDataFrame(rows, "key string, since_time string, since_id string").withColumn("since_time", _time("since_time"))
-        out = self.plan(cursors)
-        self.sink.send(out)
-        if workflow and store and progress:
-            moved = cursor.advance(progress(cursors), cursors).selectExpr("key", "date_format(since_time, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS t", "since_id")
-            store.update_state(workflow.id, "source", {r["key"]: {"since_time": r["t"], "since_id": r["since_id"]} for r in moved.toLocalIterator()})
+        if not (workflow and store and progress):
+            self.sink.send(self.plan())
+            return True
+        spark = store.spark
+        before = (store.get_source_state(workflow.id) or {}).get("cursors")
+        cursors = spark.read.schema(cursor.CURSORS).parquet(before) if before else None
+        with scope(spark):
+            read = stored(self.source(cursors), "read")
+            out = read
+            for step in self.steps:
+                out = out.transform(step)
+            self.sink.send(out)
+            path = f"{store.path}-cursors/{workflow.id}-{uuid.uuid4().hex}"
+            cursor.advance(progress(read), cursors).write.parquet(path)
+        store.update_state(workflow.id, "source", {"cursors": path})
+        if before:
+            remove(spark, before)
+        for kind, parts in (("sink", [self.sink]), ("analyzer", self.steps)):
+            states = {str(n): part.state() for n, part in enumerate(parts) if hasattr(part, "state")}
+            if states:
+                store.update_state(workflow.id, kind, states)
         return True
-
-
-def _time(name: str):
-    from pyspark.sql import functions as F
-
-    return F.to_timestamp(F.col(name), "yyyy-MM-dd'T'HH:mm:ss'Z'")

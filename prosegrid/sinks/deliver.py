@@ -1,6 +1,7 @@
 """Delivery: every executor sends the records of its partitions; nothing passes through the driver.
 
-A transport is a function from (request dict) to a response; the default one posts JSON. Each sink
+A transport is a function from (request dict) to a response; the default one honours the request's
+method and headers and sends its ``json`` or ``ndjson`` body. Each sink
 is a convertor plus a request builder, so that payloads can be tested without a network.
 """
 
@@ -23,7 +24,11 @@ Transport = Callable[[dict], object]
 
 
 def post(request: dict) -> object:
-    return fetch(request["url"], headers={"Content-Type": "application/json", **request.get("headers", {})}, data=to_json_bytes(request["json"]))
+    """Sends a request; newline-delimited bodies are sent as they are, others as JSON."""
+    lines = "ndjson" in request
+    body = request["ndjson"].encode() if lines else to_json_bytes(request["json"])
+    kind = "application/x-ndjson" if lines else "application/json"
+    return fetch(request["url"], headers={"Content-Type": kind, **request.get("headers", {})}, data=body, method=request.get("method", "POST"))
 
 
 @dataclass
@@ -33,6 +38,7 @@ class Sink:
     convertor: convert.Convertor = field(default_factory=convert.overlay)
     request: Callable[[dict], dict] = lambda record: {"json": record}
     transport: Transport = post
+    prepare: Callable[[DataFrame], DataFrame] = lambda payloads: payloads  # columns that the convertor needs, made in the JVM
 
     def requests(self, rows: Iterator[Row]) -> Iterator[dict]:
         for row in rows:
@@ -45,7 +51,7 @@ class Sink:
             for request in self.requests(rows):
                 self.transport(request)
 
-        payloads.foreachPartition(run)
+        self.prepare(payloads).foreachPartition(run)
 
 
 def http_sink(url: str, *, headers: Mapping | None = None, base_payload: Mapping | None = None, payload_mapping: Mapping | None = None, field_conversion: Mapping | None = None, transport: Transport = post) -> Sink:
@@ -55,8 +61,8 @@ def http_sink(url: str, *, headers: Mapping | None = None, base_payload: Mapping
 
 def enquiry_sink(url: str, *, partner_id: str, consumer_phone_number: str, source_information: str, headers: Mapping | None = None, base_payload: Mapping | None = None, use_enquiry_api: bool = False, transport: Transport = post) -> Sink:
     base = {**(base_payload or {}), **({} if use_enquiry_api else {"partnerId": partner_id, "consumerPhoneNumber": consumer_phone_number})}
-    own = convert.enquiry(partner_id=partner_id, source_information=source_information, base=base, use_enquiry_api=use_enquiry_api)
-    return Sink(own, lambda r: {"url": url, "headers": dict(headers or {}), "json": r}, transport)
+    prepare = lambda payloads: convert.enquiries(payloads, partner_id=partner_id, source_information=source_information, base=base, use_enquiry_api=use_enquiry_api)
+    return Sink(convert.ready, lambda r: {"url": url, "headers": dict(headers or {}), "json": r}, transport, prepare)
 
 
 def issue_sink(url: str, *, project: Mapping, issue_type: Mapping, username: str, password: str, summary_max_length: int = 50, transport: Transport = post) -> Sink:
@@ -103,6 +109,7 @@ def bulk_actions(payloads: DataFrame, index: str = "es_index", base: Mapping | N
     return payloads.select("payload_id", action.alias("action"), convert.overlay_column(base).alias("source"))
 
 
+#: Fixed value: the default index template, strings as keywords.
 STRING_KEYWORDS = {"mappings": {"dynamic_templates": [{"strings": {"path_match": "*", "match_mapping_type": "string", "mapping": {"type": "keyword"}}}]}}
 
 

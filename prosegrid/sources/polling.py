@@ -3,8 +3,9 @@
 Register a transport under a name: a function from (request, page token) to (records, next token),
 records newest first, each a dict with ``id``, ``ts`` (epoch seconds) and anything else, which
 becomes the JSON column ``body``. One request is one partition (a country, a mailbox, a query).
-Reading of a request stops at the first record that is not newer than its cursor or at
-``max_count``. The stream reader's offset is the cursor of each request.
+Reading of a request stops at the first record that is not newer than its cursor or, in a batch, at
+``max_count``. The stream reader's offset is the time of the newest record of each request; a
+micro-batch reads all records between two offsets, on the executors, so none is skipped.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 import logging
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 Transport = Callable[[dict, str | None], tuple[list[dict], str | None]]
@@ -85,27 +86,31 @@ class PolledReader(DataSourceReader):
             yield _row(request, record)
 
 
-class PolledStream(SimpleDataSourceStreamReader):
+class PolledStream(DataSourceStreamReader):
     def __init__(self, options: _Options):
         self.options = options
+        self.newest = dict(options.since)
 
     def initialOffset(self) -> dict:
         return {"since": self.options.since}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, since = [], dict(start["since"])
+    def latestOffset(self) -> dict:
+        """The time of the first record of each request, which is its newest; it never goes back."""
         for request in self.options.requests:
-            for record in pages(self.options.transport, request, start["since"].get(request["key"], 0), self.options.max_count):
-                rows.append(_row(request, record))
-                since[request["key"]] = max(since.get(request["key"], 0), record["ts"])
-        return iter(rows), {"since": since}
+            key = request["key"]
+            for record in pages(self.options.transport, request, self.newest[key], 1):
+                self.newest[key] = record["ts"]
+        return {"since": dict(self.newest)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for request in self.options.requests:
-            upto = end["since"].get(request["key"], 0)
-            for record in pages(self.options.transport, request, start["since"].get(request["key"], 0), None):
-                if record["ts"] <= upto:
-                    yield _row(request, record)
+    def partitions(self, start: dict, end: dict) -> list[Request]:
+        spans = [{"request": r, "since": start["since"].get(r["key"], 0), "upto": end["since"].get(r["key"], 0)} for r in self.options.requests]
+        return [Request(x) for x in spans if x["since"] < x["upto"]]
+
+    def read(self, partition: Request) -> Iterator[tuple]:
+        span = partition.value
+        for record in pages(self.options.transport, span["request"], span["since"], None):
+            if record["ts"] <= span["upto"]:
+                yield _row(span["request"], record)
 
     def commit(self, end: dict) -> None:
         """Nothing to do: offsets are kept by the stream's checkpoint."""
@@ -126,7 +131,7 @@ def data_source(transports: dict[str, Transport] | None = None) -> type[DataSour
         def reader(self, schema: StructType) -> DataSourceReader:
             return PolledReader(_Options(self.options, held))
 
-        def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        def streamReader(self, schema: StructType) -> DataSourceStreamReader:
             return PolledStream(_Options(self.options, held))
 
     return Polled

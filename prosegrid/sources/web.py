@@ -19,12 +19,12 @@ from prosegrid.schema import payload
 RETRY_ON = (404, 429)  # a service may know a new object a little later
 
 
-def fetch(url: str, *, headers: dict | None = None, data: bytes | None = None, total: int = 3, backoff: float = 3.0, retry_on: Sequence[int] = RETRY_ON, timeout: float = 30, opener: Callable | None = None) -> bytes:
+def fetch(url: str, *, headers: dict | None = None, data: bytes | None = None, method: str | None = None, total: int = 3, backoff: float = 3.0, retry_on: Sequence[int] = RETRY_ON, timeout: float = 30, opener: Callable | None = None) -> bytes:
     """The body of a response; statuses in ``retry_on`` and failed connections are tried ``total`` more times."""
     send = opener or (lambda request: urllib.request.urlopen(request, timeout=timeout).read())
     for attempt in range(total + 1):
         try:
-            return send(urllib.request.Request(url, data=data, headers=headers or {}))
+            return send(urllib.request.Request(url, data=data, headers=headers or {}, method=method))
         except urllib.error.HTTPError as error:
             if error.code not in retry_on or attempt == total:
                 raise

@@ -1,7 +1,8 @@
 """Workflows and their states in a small table of JSON documents, one immutable file a version.
 
-The folder may be of any file system that Spark writes. A change is appended as a new version; the
-newest version of an id counts, so readers never see half a write.
+The folder may be of any file system that Spark writes. A change is a new file, named by the id and
+the version, which must not exist yet: of two writers that start from one version the second gets
+a ``Conflict``. The newest version of an id counts, so readers never see half a write.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,20 @@ def upsert(current: DataFrame, changes: DataFrame, *, key: str = "id", version:
     return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed the workflow meanwhile; read it again."""
+
+
+class Store(Protocol):
+    """What a pipeline and its parts need of a store."""
+
+    def get(self, workflow_id: str) -> Workflow | None: ...
+
+    def get_state(self, workflow_id: str, kind: str) -> dict | None: ...
+
+    def update_state(self, workflow_id: str, kind: str, state: dict | None) -> None: ...
+
+
 class WorkflowStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -50,7 +66,20 @@ class WorkflowStore:
 
     def _write(self, row: dict) -> None:
         row["updated"] = datetime.now(timezone.utc)
-        self.spark.createDataFrame([tuple(row[k.split()[0]] for k in SCHEMA.split(", "))], SCHEMA).coalesce(1).write.mode("append").json(self.path)
+        own = {k: (v.astimezone(timezone.utc).isoformat() if isinstance(v, datetime) else v) for k, v in row.items() if v is not None}
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{row['id']}-{row['version']}.json")
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(at):
+            raise Conflict(row["id"])
+        try:
+            out = files.create(at, False)  # fails if another writer was faster
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            raise Conflict(row["id"]) from error
+        out.write(bytearray(json.dumps(own).encode()))
+        out.close()
 
     def _row(self, workflow_id: str) -> dict | None:
         found = self._newest().where(F.col("id") == workflow_id).take(1)

@@ -17,6 +17,22 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in rows] == [("aa bb", 0, 2), ("cc", 1, 2)]
 
 
+def test_polled_stream_loses_nothing(spark, tmp_path):
+    """More new records than a page or maxCount holds: the stream reads them all."""
+
+    def service(request, token):
+        upto = int(token) if token else 100
+        return [{"id": n, "ts": 1000 + n, "text": "t"} for n in range(upto, max(0, upto - 7), -1)], str(upto - 7) if upto > 7 else None
+
+    spark.dataSource.register(polling.data_source({"hundred": service}))
+    options = {"requests": '[{"key": "a"}, {"key": "b"}]', "transport": "hundred", "maxCount": "30"}
+    run = spark.readStream.format("polled").options(**options).load().writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/check").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    run.stop()
+    found = spark.read.parquet(f"file://{tmp_path}/out").groupBy("key").agg({"id": "count"}).collect()
+    assert sorted(tuple(r) for r in found) == [("a", 100), ("b", 100)]
+
+
 def test_polled_stream_reads_once(spark, tmp_path):
     def service(request, token):
         return [{"id": n, "ts": n, "text": str(n)} for n in (30, 20, 10)], None

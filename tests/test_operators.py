@@ -16,7 +16,7 @@ from prosegrid.pipeline import Pipeline
 from prosegrid.schema import payload, with_segment
 from prosegrid.sinks import convert, deliver
 from prosegrid.sources import cursor, frames, mail, media, polling, reviews, social, web
-from prosegrid.state import Workflow, WorkflowStore
+from prosegrid.state import Conflict, Workflow, WorkflowStore
 
 
 def payloads(spark, *texts, source="sample"):
@@ -235,13 +235,41 @@ def test_convertors(spark):
     assert convert.mapped({"meta": "m"}, {"m": lambda v: "c"}, convert.overlay())(row)["m"] == "c"
 
 
-def test_enquiry():
-    row = {"processed_text": "bad\nday", "source_name": "Twitter", "segmented_data": {"classifier_data": {"negative": 0.9, "food": 0.5}}, "meta": {"id": 7, "author_info": {"username": "bob"}, "created_at": "2024-01-01T00:00:00Z"}}
-    lines = convert.enquiry(partner_id="p", source_information="s", use_enquiry_api=True)(row)["enquiryMessage"].split("\n")
-    assert lines == ["Source: s", "FeedbackBy: https://twitter.com/bob", "Sentiment: Negative", "TweetUrl: https://twitter.com/bob/status/7", "FormattedText: bad day", "PredictedCategories: food", "ReportedAt: 2024-01-01 05:30:00"]
-    detail = json.loads(convert.enquiry(partner_id="p", source_information="s")(row)["messageDetail"])
-    assert detail["partnerId"] == "p" and detail["sentiment"] == "Negative"
-    assert convert.enquiry(partner_id="p", source_information="s")({**row, "source_name": "x"})["source_name"] == "x"
+def test_enquiry(spark):
+    meta = F.struct(F.lit(7).alias("id"), F.struct(F.lit("bob").alias("username")).alias("author_info"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    rows = payload(spark.range(1), F.lit("bad\nday"), F.lit("1"), meta=meta, source_name="Twitter")
+    rows = with_segment(rows, "classifier_data", F.create_map(F.lit("negative"), F.lit(0.9), F.lit("food"), F.lit(0.5)))
+    made = lambda df, **kw: convert.ready(convert.enquiries(df, partner_id="p", source_information="s", **kw).first().asDict())
+    lines = made(rows, use_enquiry_api=True, base={"k": 1})
+    assert lines["k"] == 1 and lines["enquiryMessage"].split("\n") == ["Source: s", "FeedbackBy: https://twitter.com/bob", "Sentiment: Negative", "TweetUrl: https://twitter.com/bob/status/7", "FormattedText: bad day", "PredictedCategories: food", "ReportedAt: 2024-01-01 05:30:00"]
+    detail = json.loads(made(rows)["messageDetail"])
+    assert detail["partnerId"] == "p" and detail["sentiment"] == "Negative" and detail["userProfile"] == "https://twitter.com/bob"
+    other = made(rows.withColumn("source_name", F.lit("x")), base={"k": 1})
+    assert other["source_name"] == "x" and other["k"] == 1 and other["processed_text"] == "bad\nday"
+    bare = made(payload(spark.range(1), F.lit(None).cast("string"), F.lit("1"), source_name="Twitter"), use_enquiry_api=True)["enquiryMessage"]
+    assert "ReportedAt" not in bare and "Sentiment: Neutral" in bare
+
+
+def test_default_transport_sends_lines_and_methods(monkeypatch):
+    """Bulk bodies go out as they are, and an index is made by PUT; through an opener instead of a network."""
+    import urllib.request
+
+    from prosegrid.sources import web
+
+    sent = []
+
+    class Answer:
+        def read(self):
+            return b"{}"
+
+    monkeypatch.setattr(web.urllib.request, "urlopen", lambda request, timeout: sent.append(request) or Answer())
+    deliver.SearchIndexSink("http://x").create_index(lambda name: False)
+    deliver.post({"url": "http://x/_bulk", "ndjson": '{"create":{}}\n{"a":1}\n'})
+    deliver.post({"url": "http://x", "json": {"a": "é"}, "headers": {"X": "y"}})
+    assert [(r.get_method(), r.full_url) for r in sent] == [("PUT", "http://x/es_index"), ("POST", "http://x/_bulk"), ("POST", "http://x")]
+    assert json.loads(sent[0].data) == deliver.STRING_KEYWORDS and sent[1].data == b'{"create":{}}\n{"a":1}\n'
+    assert sent[1].get_header("Content-type") == "application/x-ndjson" and json.loads(sent[2].data) == {"a": "é"}
+    assert isinstance(sent[0], urllib.request.Request)
 
 
 def test_ticket_auth_precedence():
@@ -289,6 +317,9 @@ def test_workflow_store(spark, tmp_path):
     assert store.get_source_state(flow.id) == {"k": {"since_id": "1"}} and store.get_sink_state(flow.id) == {"s": 1}
     with pytest.raises(KeyError):
         store.update_state("none", "source", {})
+    late = {**store._row(flow.id), "version": store._row(flow.id)["version"]}
+    with pytest.raises(Conflict):
+        store._write(late)  # a writer that started from the version before
     store.delete_workflow(flow.id)
     assert store.get(flow.id) is None
 
@@ -309,13 +340,31 @@ def test_pipeline_commits_after_the_sink(spark, tmp_path):
         def send(self, rows):
             raise OSError
 
-    source = lambda cursors: payload(fresh(cursors), F.col("text"), F.col("id"))
+    source = lambda cursors: payload(fresh(cursors), F.col("text"), F.col("id"), meta=F.struct("key", "ts"))
+    read = lambda rows: rows.select("meta.key", F.col("payload_id").alias("id"), "meta.ts")
     with pytest.raises(OSError):
-        Pipeline(source, [], Broken()).run(flow, store, progress=fresh)
+        Pipeline(source, [], Broken()).run(flow, store, progress=read)
     assert store.get_source_state(flow.id) is None
     for _ in range(2):
-        assert Pipeline(source, [lambda df: analyze.dummy(df, "x")], Keep()).run(flow, store, progress=fresh)
+        assert Pipeline(source, [lambda df: analyze.dummy(df, "x")], Keep()).run(flow, store, progress=read)
     assert sent == [2, 0]
+
+    late = spark.createDataFrame([("k", "3", datetime(2024, 1, 1, 2, 0, 0, 500), "c")], "key string, id string, ts timestamp, text string")
+    now = [records.unionByName(late)]
+
+    class Arrives(Keep):
+        def send(self, rows):
+            super().send(rows)
+            now[0] = now[0].unionByName(spark.createDataFrame([("k", "4", datetime(2024, 1, 1, 3), "d")], late.schema))  # arrives while it sends
+
+        def state(self):
+            return {"sent": len(sent)}
+
+    growing = lambda cursors: payload(cursor.newer(now[0], cursors, datetime(2023, 1, 1, tzinfo=timezone.utc)), F.col("text"), F.col("id"), meta=F.struct("key", "ts"))
+    for _ in range(2):
+        assert Pipeline(growing, [], Arrives()).run(flow, store, progress=read)
+    assert sent == [2, 0, 1, 1]  # half a second counts, and what arrived while sending comes next
+    assert store.get_sink_state(flow.id) == {"0": {"sent": 4}}
     assert not Pipeline(source, []).run()
 
 
