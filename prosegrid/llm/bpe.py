@@ -45,7 +45,7 @@ from prosegrid.llm.cache import Generations
 
 END = "\0"  # stands for the end-of-word suffix
 #: A worker's tables of known pieces and of known words hold twice so many bytes each; longer pieces are not kept.
-TABLE_BYTES, CACHED_BYTES = 32 << 20, 48
+TABLE_BYTES, CACHED_BYTES = 20 << 20, 48
 
 
 class MergeAutomaton:
