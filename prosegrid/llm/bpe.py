@@ -10,7 +10,8 @@ alone. It has lost the arcs that gadgets (u, v) took from it (one entry a merge:
 the others of the state it began as, which is the one that u's right part led to when u was made.
 A label that is younger than a state leads where its left part led. So a transition is decided
 by as many look-ups as the two labels have parts, and the table has one entry a merge instead of
-states x labels.
+states x labels. Decided transitions go into a table of fixed size, a slot for many pairs, so that
+common ones are read in one step.
 
 Words are pre-split by the library's own normalizer and pre-tokenizer (ASCII text: by the file's
 pattern). Encoding follows the transitions of a pre-split word: exactly one path reads each prefix, so each
@@ -33,6 +34,7 @@ import functools
 import json
 from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,7 @@ from prosegrid.llm.cache import Generations
 END = "\0"  # stands for the end-of-word suffix
 #: A worker's tables of known pieces and of known words hold twice so many bytes each; longer pieces are not kept.
 TABLE_BYTES, CACHED_BYTES = 20 << 20, 48
+MET = 1 << 17  # slots of 8 bytes
 
 
 class MergeAutomaton:
@@ -56,11 +59,15 @@ class MergeAutomaton:
         self.number = {label: i for i, label in enumerate(base)}
         self.left, self.right = array("i", [-1] * len(base)), array("i", [-1] * len(base))
         self.made = array("i", [-1] * len(base))  # the merge that made the label
+        self.met = array("q", [-1]) * MET  # transitions that were decided last, by slot: label pair, then whether there is an arc
         self.lost: dict[int, int] = {}  # (u, v): the merge whose gadget took the v-arc from the state after u
         for step, (u, v) in enumerate(merges):
             if u in self.number and v in self.number:  # else one of them never arises
                 self._gadget(step, self.number[u], self.number[v])
         self.longest = max(map(len, self.labels), default=0)
+        self.beginnings = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)  # of labels
+        for label in self.labels:
+            self.beginnings.add_word(label)
 
     def _gadget(self, step: int, u: int, v: int) -> None:
         label = self.labels[u] + self.labels[v]
@@ -96,17 +103,27 @@ class MergeAutomaton:
         Exactly one path reads each prefix, so a position that was left again is never entered twice.
         """
         number, has_arc, longest, n = self.number.get, self.has_arc, self.longest, len(word)
+        met = self.met
+        begun = self.beginnings.longest_prefix  # no label that starts here is longer
         path: list[int] = []
         starts: list[int] = []  # where each label of the path starts
         left_again: set[int] = set()
-        at, end = 0, min(n, longest)
+        at, end = 0, begun(word[:longest])
         while at < n:
             while end > at:
                 label = number(word[at:end])
-                if label is not None and (not path or has_arc(path[-1], label)) and end not in left_again:
+                if label is not None and end not in left_again:
+                    if path:
+                        pair = path[-1] << 20 | label
+                        slot = path[-1] * 40503 + label & MET - 1
+                        if (known := met[slot]) >> 1 != pair:
+                            known = met[slot] = pair << 1 | has_arc(path[-1], label)
+                        if not known & 1:
+                            end -= 1
+                            continue
                     path.append(label)
                     starts.append(at)
-                    at, end = end, min(n, end + longest)
+                    at, end = end, end + begun(word[end : end + longest])
                     break
                 end -= 1
             else:
@@ -163,7 +180,7 @@ class BPE:
         text = piece.decode("utf-8", "replace")
         out: list[bytes] = []
         number = self.automaton.number.get
-        for part in self.split_added.split(text) if any(c in text for c in self.added_starts) else [text]:
+        for part in self.split_added.split(text) if not self.added_starts.isdisjoint(text) else [text]:
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
