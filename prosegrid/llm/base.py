@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from prosegrid.scratch import scope, scratch_path, stored
 from prosegrid.sources.tables import read_table as table
 
-__all__ = ["arrow_map", "extended", "partitions", "scope", "scratch_path", "slices", "stored", "table", "utf8", "without"]
+__all__ = ["arrow_map", "extended", "partitions", "releasing", "scope", "scratch_path", "slices", "stored", "table", "utf8", "without"]
 
 BATCH_BYTES = 4 << 20  # of Arrow data that an operator's function sees at once
 
@@ -41,6 +42,20 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.Record
     return (batch.slice(at, step) for at in range(0, rows, step))
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker hands unused memory back: workers outlive their tasks, and several share a machine."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return bounded
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """Applies ``make`` to each Arrow batch, in parts of bounded bytes; nothing is kept between them."""
 
@@ -50,7 +65,7 @@ def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if (out := make(part)) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def partitions(spark: SparkSession) -> int:

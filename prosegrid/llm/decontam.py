@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosegrid.llm.base import partitions, scope, slices, stored, utf8, without
+from prosegrid.llm.base import partitions, releasing, scope, slices, stored, utf8, without
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -253,7 +253,7 @@ def build_index(docs: DataFrame, *, text: str = "text", segment_words: int = SEG
         if held:
             yield from emit()
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(releasing(run), schema)
 
 
 def lists_of(index: DataFrame, phrases: Phrases) -> tuple[DataFrame, np.ndarray]:
@@ -294,7 +294,7 @@ def _by_segment(placed: DataFrame, lists: DataFrame, make, schema: T.StructType)
         if held:
             yield from emit()
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(releasing(run), schema)
 
 
 def _positional(documents: pa.Table, lists: pa.Table, n_terms: int) -> PositionalIndex:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, scope, stored, without
+from prosegrid.llm.base import arrow_map, extended, releasing, scope, stored, without
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -154,7 +154,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Model:
         yield from (table(x, own.pop(x)) for x in list(own))
 
     with scope(docs.sparkSession):
-        return Model(list(_blocks(stored(rows.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")), "languages"))))
+        return Model(list(_blocks(stored(rows.mapInArrow(releasing(count), "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")), "languages"))))
 
 
 def _blocks(sums: DataFrame) -> Iterator[Block]:

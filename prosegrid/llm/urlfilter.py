@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, extended, scope, stored, without
+from prosegrid.llm.base import arrow_map, extended, releasing, scope, stored, without
 
 ADDED = ("host", "path", "rule", "verdict")
 BITS_PER_KEY, HASHES = 10, 7
@@ -104,7 +104,7 @@ def bloom(keys: DataFrame, n: int, seed: int) -> Bloom:
         seen = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(words[seen])], names=["at", "word"])
 
-    rows = keys.select("key").mapInArrow(part, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # the filter's bytes at most, twice
+    rows = keys.select("key").mapInArrow(releasing(part), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # the filter's bytes at most, twice
     out = np.zeros(size // 64, "<i8")
     out[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
     return Bloom(out.view(np.uint8), seed)

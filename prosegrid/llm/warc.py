@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.base import arrow_map, scratch_path, slices, utf8
+from prosegrid.llm.base import arrow_map, releasing, scratch_path, slices, utf8
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20  # of records, before compression
@@ -226,7 +226,7 @@ def to_warc(rows: DataFrame, *, date: str = "20240101000000") -> DataFrame:
                     numbers.append(file)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(numbers, pa.int32())], names=["record", "file"])
 
-    return rows.mapInArrow(run, "record binary, file int")
+    return rows.mapInArrow(releasing(run), "record binary, file int")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
