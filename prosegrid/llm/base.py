@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosegrid.llm.cache import forget, trim
 from prosegrid.scratch import scope, scratch_path, stored
 from prosegrid.sources.tables import read_table as table
 
@@ -42,22 +42,24 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.Record
     return (batch.slice(at, step) for at in range(0, rows, step))
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker hands unused memory back: workers outlive their tasks, and several share a machine."""
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, before which the worker drops the tables of other operators and after which it hands unused memory back.
+
+    Workers outlive their tasks, and several share a machine; ``keeps`` is the loader whose tables stay.
+    """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-                trim(0)
+            trim()
 
     return bounded
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """Applies ``make`` to each Arrow batch, in parts of bounded bytes; nothing is kept between them."""
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, keeps: Callable | None = None) -> DataFrame:
+    """Applies ``make`` to each Arrow batch, in parts of bounded bytes; nothing is kept between them but the tables of the loader ``keeps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +67,7 @@ def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if (out := make(part)) is not None:
                     yield out
 
-    return df.mapInArrow(releasing(run), schema)
+    return df.mapInArrow(releasing(run, keeps), schema)
 
 
 def partitions(spark: SparkSession) -> int:

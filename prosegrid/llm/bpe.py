@@ -30,7 +30,6 @@ named like an output column are dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import json
 from array import array
 
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from prosegrid.llm.base import arrow_map, extended, utf8, without
-from prosegrid.llm.cache import Generations
+from prosegrid.llm.cache import Generations, per_worker
 
 END = "\0"  # stands for the end-of-word suffix
 #: A worker's tables of known pieces and of known words hold twice so many bytes each; longer pieces are not kept.
@@ -224,7 +223,7 @@ class BPE:
         return pc.binary_join(pa.ListArray.from_arrays(offsets, flat), " ")
 
 
-@functools.lru_cache(maxsize=2)
+@per_worker
 def load(path: str) -> BPE:
     """One encoder per process and file."""
     return BPE(path)
@@ -249,7 +248,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
         lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([bpe.decode(lists)] if decoded else [])], names=[*rest, *added])
 
-    return arrow_map(sent, make, extended(sent, rest, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")))
+    return arrow_map(sent, make, extended(sent, rest, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")), load)
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -260,4 +259,4 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", text: str = "deco
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, load(path).decode(batch.column(names.index(ids)))], names=[*names, text])
 
-    return arrow_map(encoded, make, extended(encoded, names, f"`{text}` string"))
+    return arrow_map(encoded, make, extended(encoded, names, f"`{text}` string"), load)

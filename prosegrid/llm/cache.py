@@ -1,7 +1,13 @@
-"""A bounded table of answers for the pieces of text that a worker meets again and again."""
+"""What a worker keeps between tasks: the tables of one operator, with bounded tables of answers for pieces it meets again."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable
+
+import pyarrow as pa
+
 ENTRY = 150  # bytes that an entry takes besides what its key and value hold
 
 
@@ -23,3 +29,36 @@ class Generations(dict):
             self.held = 0
         self.held += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value
+
+
+_loaders: list[Callable] = []
+
+
+def trim() -> None:
+    """Hands unused memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        give(0)
+
+
+def per_worker(make: Callable) -> Callable:
+    """``make``, whose last two results a worker keeps until an operator that does not use them runs in it."""
+
+    @functools.wraps(make)
+    def made(*args):
+        out = make(*args)
+        trim()  # reading a file takes more than what is made of it
+        return out
+
+    kept = functools.lru_cache(maxsize=2)(made)
+    _loaders.append(kept)
+    return kept
+
+
+def forget(keeps: Callable | None = None) -> None:
+    """Drops the results of all loaders but ``keeps``."""
+    dropped = [kept for kept in _loaders if kept is not keeps and kept.cache_info().currsize]
+    for kept in dropped:
+        kept.cache_clear()
+    if dropped:
+        trim()

@@ -14,7 +14,6 @@ like an output column are dropped.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.llm.base import arrow_map, extended, utf8, without
-from prosegrid.llm.cache import Generations
+from prosegrid.llm.cache import Generations, per_worker
 
 BATCH_BYTES = 1 << 18
 #: The table of known pieces holds twice so many bytes; longer pieces are not kept.
@@ -112,7 +111,7 @@ class Counter:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@per_worker
 def load(path: str) -> Counter:
     """One counter per process and file."""
     return Counter(path)
@@ -130,4 +129,4 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(sizes), pa.array(load(path).count(texts), pa.int64())], names=[*rest, "n_bytes", "n_tokens"])
 
-    return arrow_map(sent, make, schema)
+    return arrow_map(sent, make, schema, load)

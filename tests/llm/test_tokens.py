@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from prosegrid.llm import bpe, tokencount
+from prosegrid.llm import base, bpe, tokencount
 from pyspark.sql import functions as F
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -104,3 +104,11 @@ def test_counter_equals_the_library(file):
 def test_batches_are_balanced():
     pieces = [b"x" * n for n in (3, 4, 5, 100, 1, 1)]
     assert [list(map(len, b)) for b in tokencount.balanced(pieces, 8)] == [[3, 4], [5], [100], [1, 1]]
+
+
+def test_workers_keep_the_tables_of_one_operator():
+    bpe.load(PATH), tokencount.load(PATH)
+    list(base.releasing(iter, bpe.load)([]))
+    assert (bpe.load.cache_info().currsize, tokencount.load.cache_info().currsize) == (1, 0)
+    list(base.releasing(iter)([]))
+    assert bpe.load.cache_info().currsize == 0
