@@ -158,7 +158,7 @@ class BPE:
         if [x["type"] for x in file["pre_tokenizer"]["pretokenizers"]] != ["Split", "ByteLevel"]:
             raise ValueError("this encoder knows words split by a pattern, then byte symbols")
         self.ascii_words = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.ASCII)
-        library = Tokenizer.from_file(path)
+        library = Tokenizer.from_str(json.dumps(file | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.normalize, self.split = library.normalizer, library.pre_tokenizer
         self.symbols = byte_symbols()
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
