@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (five-word Jaccard of 0.8 or more).
 
-    The fingerprints of families of texts go into the Gray-ordered SimHash index, an exact check follows.
+    The Gray-ordered SimHash index finds the candidates among all texts, an exact check follows.
     """
     return nearcopies.keep_one(docs, words_each=5, similarity=0.8)
 

@@ -5,15 +5,22 @@ words each). Two texts are linked if the Jaccard similarity of their sets is at
 groups are the connected components of the links.
 
 At a similarity of 0.8 the 64-bit fingerprints of two texts differ in 10 bits on average and in 20
-now and then. Agreeing bit blocks, by which ``simhash`` deals fingerprints out for 4 bits, cannot
-deal out for that many, and one pair of unrelated texts in about 30 is as near. So the deal is by
-minima: BANDS bands of ROWS minima of the sets; texts that agree on a whole band belong to one
-family, directly or not. At 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6.
+now and then; one pair of unrelated texts in about 30 is within 24. So the SimHash fingerprint is
+longer: WORDS words of 64 bits, the first that of ``simhash``, the others of the same hashes mixed
+anew. Related texts differ in 77 of its 512 bits (96 for the shortest texts), unrelated ones in 256.
 
-Within a family the fingerprints are sorted by Gray rank into the hierarchical index of ``simhash``, and
-each text asks it for those within ``WIDE`` bits: nodes whose accumulated differences exceed them go
-as a whole. Two texts at 0.8 differ in more bits with a probability of about 1e-7, very short ones
-(five shingles) of 1e-5. What the index gives is checked by the exact Jaccard similarity.
+The fingerprints go into the Gray-ordered hierarchical index once for each of 56 blocks of nine
+bits: a topmost node is a value of the block, below it the rows are in Gray order of another word
+and runs of LEAF of them keep the mask and pattern of the bits on which they agree. A search goes
+down from the node of its own value, drops runs and rows that differ in over ``NEAR`` bits of that word
+and keeps rows within ``LIMIT`` bits of the whole. At 0.8 a pair agrees on no block with probability
+5e-7 (texts of five shingles: 8e-5) and exceeds LIMIT with less than 1e-6. All texts meet: chunks of a hash
+of at most ``PRINTS`` rows are joined pair by pair, each by a task. That work grows with the square of the texts
+(one pair in 9 is looked at, for a few nanoseconds).
+
+What the searches link, directly or not, is a family. Within it the 64-bit fingerprints are searched in
+the index of ``simhash`` at ``WIDE`` bits, which two texts at 0.8 exceed with a probability of about 1e-7 (five shingles:
+1e-5), and what that gives is checked by the exact Jaccard similarity.
 
 Work: texts with equal sets are one node. Sets are made again from the texts, for families only. A
 family of more than ``CHUNK`` shingles is cut into chunks by a hash, and every pair of chunks is a task
@@ -27,6 +34,7 @@ long texts count as whole sets; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,16 +46,19 @@ from pyspark.sql import functions as F
 
 from prosegrid.llm.base import arrow_map, extended, partitions, releasing, scope, slices, stored, utf8
 from prosegrid.llm.components import connected_components
-from prosegrid.llm.simhash import GrayIndex, shingle_hashes, simhash
+from prosegrid.llm.simhash import GrayIndex, _join, gray_rank, shingle_hashes, simhash
 
 SIMILARITY, WORDS_EACH = 0.8, 5
-BANDS, ROWS = 32, 5
+WORDS = 8  # of a long fingerprint
+BLOCK, BLOCKS = 9, 7  # bits of a block, blocks of a word
+NEAR, LIMIT = 24, 140  # bits of 64, bits of 512
+LEAF = 32  # rows of a run in the index of long fingerprints
+PRINTS, FEW_PRINTS = 1 << 19, 1 << 11  # long fingerprints of a chunk at most; fewer are not worth a chunk
 WIDE = 28  # bits of 64
 CHUNK = 1 << 20  # shingles
 BROADCAST_ROWS = 1_000_000  # of two numbers
-_AT_ONCE = 2048  # shingles whose minima are taken at once
-_FACTORS, _TERMS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
-_FACTORS |= np.uint64(1)
+_AT_ONCE = 255  # shingles whose votes fit in a byte
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, WORDS - 1), np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes | None, words_each: int = WORDS_EACH) -> np.ndarray:
@@ -55,32 +66,131 @@ def shingle_set(text: bytes | None, words_each: int = WORDS_EACH) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words_each), np.uint64))
 
 
-def band_values(own: np.ndarray) -> list[int]:
-    """A word for each band; it depends on the band's number and minima (none for an empty set)."""
-    if not len(own):
-        return []
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def signature(own: np.ndarray) -> np.ndarray:
+    """The long SimHash fingerprint of a set: the words of majorities of its hashes and of these mixed anew (zeros for none)."""
+    votes = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(own), _AT_ONCE):
-        np.minimum(least, (own[at : at + _AT_ONCE] * _FACTORS + _TERMS).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+        part = own[at : at + _AT_ONCE, None]
+        mixed = part * _FACTORS[0]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _FACTORS[1]
+        words = np.hstack([part, mixed ^ (mixed >> np.uint64(32))])
+        votes += np.add.reduce(np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(own), bitorder="little").view("<u8")
+
+
+def block_values(words: np.ndarray, block: int) -> np.ndarray:
+    """The bits of a block, of rows of long fingerprints."""
+    word, at = divmod(block, BLOCKS)
+    return ((words[:, word] >> np.uint64(BLOCK * at)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
+
+
+def band_values(own: np.ndarray) -> list[int]:
+    """The number and bits of every block of a set's long fingerprint (none for an empty set)."""
+    words = signature(own)[None]
+    return [block << BLOCK | int(block_values(words, block)[0]) for block in range(WORDS * BLOCKS)] if len(own) else []
 
 
 def sketched(rows: DataFrame, words_each: int) -> DataFrame:
-    """(__place, fp, size, bands) of rows (__place, __text); fp is the same for equal sets."""
+    """(__place, fp, size, print) of rows (__place, __text); fp is the same for equal sets, print their long fingerprint."""
     sent = rows.select("__place", utf8("__text").alias("__text"))
-    schema = extended(sent, ["__place"], "fp long, size long, bands array<long>")
+    schema = extended(sent, ["__place"], "fp long, size long, print binary")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.as_py(), words_each) for t in batch.column(1)]
-        prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        values = [band_values(s) for s in sets]
-        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array([x for v in values for x in v], np.uint64).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), bands], names=schema.names)
+        own = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        prints = pa.array([signature(s).tobytes() for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array([len(s) for s in sets], pa.int64()), prints], names=schema.names)
 
     return arrow_map(sent, make, schema)
 
 
+class BlockIndex:
+    """One word of fingerprints in Gray order below the values of a block, in runs of LEAF rows with their masks and patterns."""
+
+    def __init__(self, words: np.ndarray, value: np.ndarray):
+        order = np.lexsort((gray_rank(words), value))
+        sizes = np.bincount(value, minlength=1 << BLOCK)
+        self.sizes = -(-sizes // LEAF)  # runs of each value
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.work = self.sizes * LEAF
+        local = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.repeat(self.starts * LEAF, sizes) + local
+        runs = int(self.sizes.sum())
+        self.rows, self.words = np.full(runs * LEAF, -1), np.zeros(runs * LEAF, np.uint64)
+        self.rows[place], self.words[place] = order, words[order]
+        first = np.flatnonzero(local % LEAF == 0)
+        ones, zeros = ((np.bitwise_and.reduceat(x, first) if runs else x) for x in (words[order], ~words[order]))
+        self.mask, self.pattern, self.words = ones | zeros, ones, self.words.reshape(-1, LEAF)
+
+    def search(self, queries: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of equal value whose words differ in at most NEAR bits."""
+        count = self.sizes[value]
+        query = np.repeat(np.arange(len(queries)), count)
+        run = np.arange(len(query)) + np.repeat(self.starts[value] - (np.cumsum(count) - count), count)
+        near = np.bitwise_count((queries[query] ^ self.pattern[run]) & self.mask[run]) <= NEAR
+        query, run = query[near], run[near]
+        at = np.flatnonzero(np.bitwise_count(queries[query][:, None] ^ self.words[run]) <= NEAR)
+        row = self.rows[run[at // LEAF] * LEAF + at % LEAF]
+        return query[at // LEAF][row >= 0], row[row >= 0]
+
+
+def near_prints(words: np.ndarray, side: np.ndarray, cross: bool, pairs_at_once: int = 1 << 16, joined_at_once: int = 1 << 20) -> np.ndarray:
+    """For each row of long fingerprints a row of its class; if ``cross``, only pairs of side 0 and side 1 are searched."""
+    parent = np.arange(len(words))
+    asked, held = (np.flatnonzero(side == k) for k in (0, 1)) if cross else (parent.copy(),) * 2
+    for block in range(WORDS * BLOCKS):
+        value, word = block_values(words, block), words[:, (block // BLOCKS + 1) % WORDS]
+        index = BlockIndex(word[held], value[held])
+        queries = asked[np.argsort(value[asked], kind="stable")]
+        work = np.cumsum(index.work[value[queries]])
+        at, found, waiting = 0, [], 0
+        while at < len(queries):
+            upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + pairs_at_once)))
+            part = queries[at:upto]
+            q, row = index.search(word[part], value[part])
+            a, b = part[q], held[row]
+            apart = parent[a] != parent[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= LIMIT
+            found.append((a[near], b[near]))
+            waiting += int(near.sum())
+            at = upto
+            if waiting and (waiting >= joined_at_once or at == len(queries)):
+                _join(parent, *(np.concatenate(x) for x in zip(*found)))
+                found, waiting = [], 0
+    return parent
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the index of long fingerprints links; ``nodes`` has (fp, print), all fp differ."""
+    spark, n = nodes.sparkSession, nodes.count()
+    # A row is sent once a chunk, so there are no more of them than give each core two pairs, or than memory asks for.
+    even = math.ceil((math.sqrt(16 * spark.sparkContext.defaultParallelism + 1) - 1) / 2)
+    chunks = max(1, math.ceil(n / PRINTS), min(even, math.ceil(n / FEW_PRINTS)))
+    own = nodes.select("fp", "print", F.pmod(F.xxhash64("fp"), F.lit(chunks)).cast("int").alias("own"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = met.select("fp", "print", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("cross"), (j * (j + 1) / 2 + i).cast("int").alias("task"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, cross = [], False
+        for batch in batches:
+            if batch.num_rows:
+                own = batch["print"].cast(pa.binary(8 * WORDS))
+                words = np.frombuffer(own.buffers()[1], "<u8").reshape(-1, WORDS)[own.offset : own.offset + len(own)]
+                parts.append((batch["fp"].to_numpy().copy(), words.copy(), batch["side"].to_numpy().copy()))
+                cross = batch["cross"][0].as_py()
+        if not parts:
+            return
+        own, words, side = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        parent = near_prints(words, side, cross)
+        moved = parent != np.arange(len(parent))
+        yield pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[parent[moved]])], names=["a", "b"])
+
+    return dealt.repartitionById(chunks * (chunks + 1) // 2, F.col("task")).mapInArrow(releasing(run), "a long, b long")
+
+
 def forest(sets: list[np.ndarray], prints: np.ndarray, side: np.ndarray, cross: bool, similarity: float) -> list[tuple[int, int]]:
     """Places (x, y) that connect all sets of at least the similarity; if ``cross``, only pairs of side 0 and side 1 count.
 
@@ -112,10 +222,8 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what the links within families connect; ``nodes`` has (fp, size, bands, __row), ``texts`` (__row, __text)."""
-    members = nodes.select("fp", F.explode("bands").alias("band"))
-    centres = members.groupBy("band").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    family = connected_components(members.join(centres, "band").select("a", F.col("fp").alias("b")).where("a <> b").distinct())
+    """Edges (a, b) that connect what the links within families connect; ``nodes`` has (fp, size, print, __row), ``texts`` (__row, __text)."""
+    family = connected_components(candidates(nodes.where("size > 0").select("fp", "print")))
     family = stored(nodes.select("fp", "size").join(family, F.col("fp") == F.col("node")).select("fp", "size", F.col("root").alias("family")), "families")
     chunks = family.groupBy("family").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     placed = family.join(chunks, "family").select("fp", "family", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("own"))
@@ -152,9 +260,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
     with scope(docs.sparkSession):
         found = sketched(numbered.select(place.alias("__place"), F.col(text).alias("__text")), words_each)
-        nodes = stored(found.groupBy("fp").agg(F.min("__place").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+        nodes = stored(found.groupBy("fp").agg(F.min("__place").alias("least"), F.first("size").alias("size"), F.first("print").alias("print")), "nodes")
         texts = numbered.select("__row", F.col(text).alias("__text"))
-        roots = connected_components(links(nodes.select("fp", "size", "bands", F.col("least.row").alias("__row")), texts, words_each, similarity))
+        roots = connected_components(links(nodes.select("fp", "size", "print", F.col("least.row").alias("__row")), texts, words_each, similarity))
         one = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
         kept = stored(one.select(F.col("least.row").alias("__row")), "kept", keep=True)
     return numbered.join(few(kept), "__row", "left_semi").drop("__row")

@@ -73,3 +73,37 @@ def test_odd_rows(odd, empty):
     kept = nearcopies.keep_one(odd)
     assert kept.columns == odd.columns and nearcopies.keep_one(empty).count() == 0
     assert kept.where("doc_id is null").count() == 0 and kept.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_deal_is_by_simhash_bits():
+    """What brings texts together is cut from SimHash fingerprints; the first word is that of ``simhash``."""
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 300, 2000):
+        own = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        first = nearcopies.simhash(own)
+        assert [v & 511 for v in nearcopies.band_values(own)[:7]] == [first >> 9 * k & 511 for k in range(7)]
+    assert nearcopies.band_values(own[:0]) == []
+
+
+def test_long_fingerprints_are_all_linked():
+    """Classes of the block index against all pairs, within a chunk and between two chunks."""
+    rng = np.random.default_rng(8)
+    words = np.repeat(rng.integers(0, 1 << 64, (300, nearcopies.WORDS), np.uint64), 4, axis=0)
+    for _ in range(3):  # one bit in eight
+        noise = rng.integers(0, 1 << 64, (3, *words.shape), np.uint64)
+        words[rng.permutation(len(words))[:900]] ^= (noise[0] & noise[1] & noise[2])[:900]
+        side = rng.integers(0, 2, len(words))
+        for cross in (False, True):
+            found = nearcopies.near_prints(words, side, cross, pairs_at_once=500, joined_at_once=50)
+            near = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= 100
+            x, y = np.nonzero(near & (side[:, None] != side[None]) if cross else near)
+            assert (found[x] == found[y]).all()
+            far = np.bitwise_count(words ^ words[found]).sum(axis=1)
+            assert (far <= 512 // 2 - 40).all()
+
+
+def test_pairs_of_chunks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PRINTS", 25)
+    rows = copies(seed=9, families=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(df).collect()) == brute(rows)
